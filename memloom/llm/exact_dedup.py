@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 
 from .shared import discard, durable, new_folder, remove
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; each commit uploads its changes only, and files are not allocated ahead, which many small stores would pay for.
+_STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -33,12 +37,14 @@ def digest_of(text: Column) -> Column:
 
 @contextmanager
 def _rocks(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    before = {k: spark.conf.get(k, None) for k in _STATE_STORE}
+    for k, v in _STATE_STORE.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _first(*more: str) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, repetition
+from . import exact_dedup, near_dedup, packing, pii, quality, repetition, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,44 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _remainder(of: str, by: int) -> Column:
+    return F.crc32(F.col(of).cast("string")) % by
+
+
+def _scores(fit, by: int, held: int, spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return fit(docs, labels, _remainder("doc_id", by) != held).withColumn("held_out", _remainder("doc_id", by) == held)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(quality.quality_scores, 3, 1, spark, sf_dir)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(toxicity.toxicity_scores, 5, 0, spark, sf_dir)
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+OP5_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS ws FROM documents
+), spot AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), 2))) AS i FROM w WHERE len(ws) > 0
+), s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[i] || ' ' || ws[i + 1] END AS sh FROM spot
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (
+  WITH RECURSIVE r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, links.b FROM r JOIN links ON links.a = r.b) SELECT a, min(b) AS component_id FROM r GROUP BY a
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r ON r.a = d.doc_id
+"""
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -33,6 +71,19 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, g.text_s
 """
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.find_pii(_table(spark, sf_dir, "documents"))
+
+    def listed(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = {f"n_{k}": count(k) for k in pii.BASE_KINDS}
+    return got.select("doc_id", *(c.alias(k) for k, c in counts.items()), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -45,11 +96,15 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_quality": op3_quality,
+        "op4_toxicity": op4_toxicity,
+        "op5_near_dedup": op5_near_dedup,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_pii": op8_pii,
         "op9_packing": op9_packing,
         "op10_repetition": op10_repetition,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op5_near_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL}

@@ -7,7 +7,11 @@ executors, keeps column pruning and costs one sequential write.
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,9 +57,29 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application: their
+    Python may not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parent.parent
+    out = Path(os.path.realpath(tempfile.mkdtemp())) / f"{top.name}.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(str(out))
+    _shipped.add(sc.applicationId)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Caps the rows and bytes of an Arrow batch, so that a Python worker's
-    memory does not depend on how long neighbouring texts are."""
+    """Before any Python on executors: sends the package, and caps the rows and
+    bytes of an Arrow batch, so that a worker's memory does not depend on how
+    long neighbouring texts are."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     try:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

@@ -73,9 +73,10 @@ def blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         a = b
 
 
-def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and for each text the number of its first word (one more entry at the end)."""
-    inside = ~_SPACE[data]
+def word_bounds(data: np.ndarray, offs: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and for each text the number of its first word (one more entry at the end).
+    ``between`` tells for each byte value whether it parts words."""
+    inside = ~between[data]
     edge = np.zeros(len(data) + 1, np.int8)
     edge[:-1] += inside
     edge[1:] -= inside
