@@ -110,6 +110,23 @@ def scored(docs: DataFrame, features: Features, score: Callable[[np.ndarray, np.
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
+def kept_rows(docs: DataFrame, features: Features, score: Callable[[np.ndarray, np.ndarray, int], np.ndarray], names: np.ndarray, below: float, text_col: str) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is under ``below``."""
+    bounded_batches(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast((names, score))
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, score = shipped.value
+        for batch in batches:
+            out = [np.zeros(0)]
+            for a, b, data, offs in blocks(batch.column(place)):
+                out.append(score(*lookup(names, *features(data, offs)), b - a))
+            yield batch.filter(pa.array(np.concatenate(out) < below))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 

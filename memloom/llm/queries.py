@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, packing, pii, quality, repetition, toxicity
+from . import chat, exact_dedup, mixing, near_dedup, packing, pii, quality, repetition, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,43 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
+    rows = rows.unionByName(extra)
+    # each row is a message; rows of one turn stay apart, by role and text
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text")))
+    log = rows.select("conv_id", number.alias("seq"), number.alias("message"), F.lit("message").alias("kind"), "role", "text")
+    back = chat.read_back(chat.format_chats(log))
+    said = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("masked").cast("long").alias("loss_chars"), F.sha2("masked", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars")
+    )
+
+
+OP1_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), s AS (
+  SELECT *, length(regexp_replace(text, '%s', '\1\2\\\3', 'g')) + 12 + length(replace(replace(replace(replace(role, '%%', '%%25'), chr(10), '%%0A'), '<', '%%3C'), '[', '%%5B')) + 1 + 11 AS chars FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM s GROUP BY conv_id
+""" % chat.ESCAPE
+
+RULES = (urls.Rule("org/", True), urls.Rule("example.org/es/", False), urls.Rule("example.org/en/1", False), urls.Rule("com/fr/", True), urls.Rule("com/de/", False))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = urls.judged(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return got.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def _remainder(of: str, by: int) -> Column:
     return F.crc32(F.col(of).cast("string")) % by
 
@@ -60,6 +97,27 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r ON r.a = d.doc_id
 """
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mixing.mix(_table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix-1:' || doc_id) AS h FROM documents
+), s AS (SELECT key, sum(size)::BIGINT AS source_size, [5.0::DOUBLE, 2.0, 1.0][1 + (row_number() OVER (ORDER BY key) - 1) % 3] AS weight FROM d GROUP BY key),
+c AS (
+  SELECT *, row_number() OVER w AS k, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / sum(weight) OVER (ORDER BY 3 * source_size / weight, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s WINDOW w AS (ORDER BY 3 * source_size / weight, key)
+), t AS (SELECT key, source_size, least((3 * source_size)::DOUBLE, (SELECT level FROM c WHERE 3 * source_size >= level * weight ORDER BY k LIMIT 1) * weight) AS target FROM c),
+q AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY key ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN t USING (key)),
+f AS (SELECT q.*, e, CASE WHEN target > 0 THEN (e * source_size + upto)::DOUBLE / target ELSE 0.0 END AS finish FROM q, (VALUES (0), (1), (2)) v(e)),
+r AS (SELECT doc_id, size, sum(size) OVER (ORDER BY finish, key, e, h ROWS UNBOUNDED PRECEDING) AS run FROM f)
+SELECT q.doc_id, q.size::BIGINT AS size, q.source_size, q.target, x.taken
+FROM q JOIN (SELECT doc_id, (sum(size) FILTER (run <= (SELECT sum(size) FROM d)))::BIGINT AS taken FROM r GROUP BY doc_id) y USING (doc_id), LATERAL (SELECT coalesce(y.taken, 0)::BIGINT AS taken) x
+"""
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -96,9 +154,12 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_chat_format": op1_chat_format,
+        "op2_url_filter": op2_url_filter,
         "op3_quality": op3_quality,
         "op4_toxicity": op4_toxicity,
         "op5_near_dedup": op5_near_dedup,
+        "op6_mixing": op6_mixing,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_pii": op8_pii,
         "op9_packing": op9_packing,
@@ -107,4 +168,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_near_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op1_chat_format": OP1_SQL, "op6_mixing": OP6_SQL, "op5_near_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL}

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .linear import Sample, collect_features, distinct, indexed, labelled_sample, platt, scored, sigmoid
+from .linear import Sample, collect_features, distinct, indexed, kept_rows, labelled_sample, platt, scored, sigmoid
 from .words import mix, word_bounds, word_hashes
 
 _U = np.uint64
@@ -153,3 +153,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, may_learn: Column, rows_
     model = fit(collect_features(labelled_sample(docs, labels, label, may_learn, rows_per_class, id_col, text_col), features))
     out = scored(docs, features, model, model.names, id_col, text_col)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4000, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score under 0.5, with all their columns.
+    Edge cases as in :func:`toxicity_scores`; without labels all rows stay."""
+    model = fit(collect_features(labelled_sample(docs, labels, label, F.lit(True), rows_per_class, id_col, text_col), features))
+    return kept_rows(docs, features, model, model.names, 0.5 if len(model.names) or model.bias else 2.0, text_col)
