@@ -8,10 +8,13 @@ sharply; pairs that it puts far below the threshold need no confirmation.
 
 Texts with the same set are one node from then on.  In each bucket of a band
 every node is held against the bucket's smallest node, a star and not all
-pairs; where a bucket is left with more than one component, the nodes outside
-the smallest node's component are held against all others of the bucket, so
-no link is lost between texts that share a bucket.  Candidates are confirmed
-on full sets made again from whole texts.
+pairs.  Nodes that buckets join, directly or not, are a family; in a family
+that the stars leave in more than one component, all pairs of different
+components are compared, block against block of 512 nodes, so no link is lost
+between texts that share a bucket.  A block's pairs are ruled out by sketches
+and counted by an inverted index of full sets inside one task; only links
+leave it, never pairs.  Candidates are always confirmed on full sets made
+again from whole texts.
 
 At a similarity of 0.8 a pair shares none of 32 bands of 4 samples with a
 probability of (1 - 0.8^4)^32, or 5 in 100 million."""
@@ -32,6 +35,8 @@ from .shared import bounded_batches, discard, durable
 from .words import blocks, mix, shingles, word_bounds, word_hashes
 
 SAMPLES, BANDS, ROWS, SKETCH_BITS = 128, 32, 4, 512
+#: Nodes of a family that are compared at once with as many others.
+BLOCK_NODES = 512
 #: A pair at the threshold of 0.8 differs in 25.6 of 128 samples on average; 53 are six
 #: deviations more, their 106 flips set 87 bits of 512 on average, and 23 more are four deviations.
 SKETCH_LIMIT = 110
@@ -124,6 +129,52 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def across(nodes: DataFrame, width: int, percent: int, kind: str) -> DataFrame:
+    """The links (a, b) between different parts of one family.  ``nodes`` has
+    family, size (of the family), node, part, n, odd and body.
+
+    A family is dealt into blocks of about ``BLOCK_NODES``; each pair of its
+    blocks is a group of two blocks at most, whatever the family's size."""
+    blocks_of = F.ceil(F.col("size") / BLOCK_NODES).cast("int")
+    dealt = nodes.withColumn("block", F.pmod(F.xxhash64("node"), blocks_of).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks_of - 1)))
+    dealt = dealt.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "part", "n", "odd", "body")
+
+    def run(table: pa.Table) -> pa.Table:
+        block = table.column("block").to_numpy()
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        part, n = table.column("part").to_numpy(), table.column("n").to_numpy()
+        odd = np.array(table.column("odd").to_pylist(), np.int64)
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        rows = []
+        if len(left) and len(right):
+            sets: list[np.ndarray] | None = None
+            for i in left.tolist():
+                far = np.bitwise_count((odd[i] ^ odd[right]).view(np.uint64)).sum(axis=1)
+                size = 100 * np.minimum(n[i], n[right]) >= percent * np.maximum(n[i], n[right])
+                near = right[(part[right] != part[i]) & size & (far <= SKETCH_LIMIT)]
+                if lo == hi:
+                    near = near[near > i]
+                if not len(near):
+                    continue
+                if sets is None:  # only now are the texts needed: one sorted index of the right block
+                    sets = _sets(table.column("body"), width)
+                    key = np.concatenate([sets[j] for j in right.tolist()])
+                    owner = np.repeat(right, [len(sets[j]) for j in right.tolist()])
+                    order = np.argsort(key, kind="stable")
+                    key, owner = key[order], owner[order]
+                a, b = np.searchsorted(key, sets[i]), np.searchsorted(key, sets[i], "right")
+                hits = b > a
+                a, b = a[hits], b[hits]
+                at = np.repeat(a - np.r_[0, np.cumsum(b - a)[:-1]], b - a) + np.arange(int((b - a).sum()))
+                both = np.bincount(owner[at], minlength=table.num_rows)[near]
+                rows += [(i, j) for j in near[100 * both >= percent * (n[i] + n[near] - both)].tolist()]
+        node = table.column("node")
+        at = np.array(rows, np.int64).reshape(-1, 2)
+        return pa.table({"a": node.take(pa.array(at[:, 0])), "b": node.take(pa.array(at[:, 1]))})
+
+    return dealt.groupBy("family", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}")
+
+
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: ``id_col``, ``n_shingles``, ``component_id`` and ``kept``.
 
@@ -162,21 +213,17 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     links = durable(confirmed(stars, texts, width, percent), "confirmed")
     first = durable(components(links), "components")
 
-    # what the stars have not settled: buckets with more than one component
-    told = member.join(first.withColumnRenamed("component", "part"), "node", "left").select("bucket", "node", "centre", F.coalesce("part", "node").alias("part"))
-    mixed = told.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket", F.col("lo").alias("main"))
-    open_rows = told.join(mixed, "bucket").join(facts, "node").select("bucket", "node", "part", "main", "n", "odd")
-    open_rows = durable(open_rows, "open")
-    a = open_rows.where("part <> main").select("bucket", F.col("node").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("odd").alias("oa"))
-    b = open_rows.select("bucket", F.col("node").alias("b"), F.col("part").alias("pb"), F.col("main"), F.col("n").alias("nb"), F.col("odd").alias("ob"))
-    rest = a.join(b, "bucket").where("pa <> pb and (pb = main or a < b)").where(_possible("na", "nb", "oa", "ob", percent)).select("a", "b").distinct()
-    tried = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = durable(confirmed(rest.join(tried, ["a", "b"], "left_anti"), texts, width, percent), "confirmed")
+    # what the stars have not settled: families with more than one component
+    family = components(member.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "family")
+    told = durable(family.join(first.withColumnRenamed("component", "part"), "node", "left").select("family", "node", F.coalesce("part", "node").alias("part")), "families")
+    mixed = told.groupBy("family").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("family", "size")
+    open_nodes = told.join(mixed, "family").join(facts, "node").join(texts.withColumnRenamed("id", "node"), "node")
+    more = durable(across(open_nodes, width, percent, kind), "confirmed")
     if more.isEmpty():
         parts = first
     else:
         parts = durable(components(links.unionByName(more)), "components")
-    discard(member, facts, texts, open_rows, links, more)
+    discard(member, facts, texts, told, links, more)
 
     home = nodes.select("digest", "node").join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = drawn.select("id", "n", "digest").join(home, "digest", "left")
