@@ -134,9 +134,9 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), seed: int = 1,
     number = lambda *by: F.row_number().over(Window.partitionBy("__id").orderBy("__source", "__size", *by))
     taken = mix(docs, weights, seed, id_col, source_col, text_col)
     taken = taken.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("size").alias("__size"), "copies", "finish")
-    taken = taken.withColumn("__n", number("finish")).where("copies > 0").select(F.col("__id").alias("__id2"), F.col("__n").alias("__n2"), "copies")
+    taken = taken.withColumn("__n", number("finish")).where("copies > 0").select(F.col("__id").alias("__id2"), F.col("__n").alias("__n2"), F.col("copies").alias("__copies"))
     rows = docs.withColumns({"__id": F.col(id_col), "__source": F.col(source_col), "__size": word_count(F.col(text_col))}).withColumn("__n", number(text_col))
     out = rows.join(taken, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__n") == F.col("__n2")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*[docs[c] for c in docs.columns])
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*[docs[c] for c in docs.columns])
 
 
