@@ -293,3 +293,49 @@ def test_reflections(spark):
     r = records(spark, [{"record_id": "a", "trust": 0.4}, {"record_id": "deep", "reflection_depth": 2}, {"record_id": "bad", "quarantined": True}], namespace="n", trust=0.9, quarantined=False, reflection_depth=0)
     p = spark.createDataFrame([("x", "n", "c", 0.8, ["a"]), ("y", "n", "c", 0.8, ["deep"]), ("z", "n", "c", 0.8, ["a", "bad"]), ("w", "n", "c", 0.8, ["missing"])], "reflection_id string, namespace string, content string, trust double, member_record_ids array<string>")
     assert [(x.reflection_id, x.trust, x.reflection_depth) for x in lifecycle.reflections(p, r).collect()] == [("x", 0.4, 1)]
+
+
+def test_related_strategies(spark):
+    edges = spark.createDataFrame([("a", "b", "related", 1.0), ("b", "c", "related", 1.0)], "src string, dst string, rel string, weight double")
+    seeds = spark.createDataFrame([(1, "a")], "query_id int, node string")
+    near = spark.createDataFrame([(1, "c", 1), (1, "a", 2)], "query_id int, record_id string, rank int")
+    order = lambda df: [r.node for r in df.orderBy("rank").collect()]
+    assert order(graph.related(edges, seeds)) == ["b", "c"] == order(graph.related(edges, seeds, "bfs"))
+    assert order(graph.related(edges, seeds, "rrf", hits=near)) == ["c", "b"]
+    with pytest.raises(ValueError):
+        graph.related(edges, seeds, "walk")
+
+
+def test_squeeze_and_prefilter(spark):
+    rows = [{"record_id": r, "place": p, "tokens": 10, "score": s} for r, p, s in (("p", 0, 0.9), ("f", 2, 0.5), ("e", 4, 0.8), ("w", 5, 0.1))]
+    assert [r["record_id"] for r in search.squeeze(rows, 30)] == ["p", "f", "e"]
+    assert [r["record_id"] for r in search.squeeze(rows, 30, protected=frozenset("w"))] == ["p", "f", "w"]
+    h = hits(spark, [(1, f"r{k}", "semantic", f"word{k}", None, 0.5) for k in range(6)])
+    q = spark.createDataFrame([(1, "word3")], "query_id int, text string")
+    assert [r.record_id for r in search.vector_prefilter(h, q, vector.hash_embed, 1, 1).collect()] == ["r3"]
+
+
+def test_settings():
+    from memloom import config
+
+    s = config.resolve("voice", {"retrieval": {"top_k": 4}}, env={"MEMLOOM_EVENT_LOG__RETENTION_DAYS": "7"}, storage__path="x")
+    assert (s["event_log.mode"], s["event_log.retention_days"], s["retrieval.top_k"], s["storage.path"]) == ("rolling", 7, 4, "x")
+    assert s.sources["event_log.mode"] == "template:voice" and s.sources["storage.path"] == "arguments"
+    assert config.resolve("personal", env={}).memory_types == {"working", "episodic", "semantic", "reflective", "prospective"}
+    assert config.with_dependencies({"shared"}) == {"shared", "semantic"}
+    for bad in ({"nothing": 1}, {"event_log": {"speed": 1}}):
+        with pytest.raises(ValueError):
+            config.resolve(values=bad, env={})
+
+
+def test_prompts(spark):
+    from memloom.prompts import Prompt, Registry
+
+    r = Registry()
+    assert r.select("extract", memory_type="resource").memory_type == "resource" and r.select("extract", memory_type="semantic").memory_type is None
+    assert r.select("summarize", condition="brief").render(notes="n").endswith("n")
+    with pytest.raises(KeyError):
+        r.select("none")
+    with pytest.raises(ValueError):
+        Registry([Prompt("a", "x", memory_type="m"), Prompt("a", "x", condition="c")]).select("a", "m", "c")
+    assert r.declared(spark).count() == len(r.prompts)
