@@ -505,3 +505,88 @@ def transcript_records(spark, sf_dir):
 @query("whole_episodes", "SELECT conv_id, sha256(string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn)) AS group_id FROM conversations GROUP BY conv_id")
 def whole_episodes(spark, sf_dir):
     return tables.episodes(_t(spark, sf_dir, "conversations")).select("conv_id", "group_id")
+
+
+# --- more of the same operators -------------------------------------------
+
+
+@query("legal_hold", "SELECT 'd' || doc_id AS record_id FROM documents WHERE lang IN ('de', 'fr')")
+def legal_hold(spark, sf_dir):
+    return tables.documents(_t(spark, sf_dir, "documents")).where(gates.held(("docs/de", "docs/fr"))).select("record_id")
+
+
+@query("neighbours", f"WITH {_EDGES} SELECT DISTINCT src AS node, dst AS neighbour FROM bw WHERE src IN ('s1', 's2', 'p5')")
+def neighbours(spark, sf_dir):
+    return graph.neighbours(_edges(spark, sf_dir), spark.createDataFrame([("s1",), ("s2",), ("p5",)], "node string"))
+
+
+@query("weighted_degree", f"WITH {_EDGES} SELECT src AS node, count(*) AS links, round(sum(weight), 6) AS weight FROM bw GROUP BY src")
+def weighted_degree(spark, sf_dir):
+    return graph.degrees(_edges(spark, sf_dir)).select("node", "links", F.round("weight", 6).alias("weight"))
+
+
+@query(
+    "auto_links",
+    "WITH " + _VECTOR + """,
+k AS (SELECT q.record_id AS src, r.record_id AS dst, round(list_dot_product(q.u, r.u) / (q.size * r.size), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.u, r.u) / (q.size * r.size), 6) DESC, r.record_id) AS rank FROM vn q, vn r WHERE q.vec_id % 20 = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS n FROM k WHERE rank <= 8 AND src <> dst AND score >= 0.3)
+SELECT src, dst, round(score, 4) AS weight FROM o WHERE n <= 4
+""",
+)
+def auto_links(spark, sf_dir):
+    from .policies import Links
+
+    e = _t(spark, sf_dir, "embeddings")
+    rows = tables.vectors(e)
+    q = rows.where(F.substring("record_id", 2, 20).cast("long") % 20 == 0).select(F.col("record_id").alias("query_id"), F.lit(None).cast("string").alias("namespace"), "vector")
+    none = spark.createDataFrame([], "src string, dst string, rel string, weight double")
+    return graph.auto_links(vector.topk(q, rows, 8), none, Links(auto_similarity=0.3)).select("src", "dst", "weight")
+
+
+@query("fresh_chunks", "SELECT 'doc/' || doc_id AS doc_path, sha256(coalesce(text, '')) AS content_fingerprint FROM documents WHERE doc_id % 3 <> 0 ")
+def fresh_chunks(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc/"), "doc_id").alias("doc_path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_fingerprint"))
+    return lifecycle.fresh_chunks(d, d.where("doc_id % 3 = 0")).select("doc_path", "content_fingerprint")
+
+
+@query(
+    "dedup_confirm",
+    "WITH " + _VECTOR + "SELECT new_id, old_id, score FROM (SELECT a.record_id AS new_id, b.record_id AS old_id, round(list_dot_product(a.u, b.u) / (a.size * b.size), 6) AS score, row_number() OVER (PARTITION BY a.record_id ORDER BY round(list_dot_product(a.u, b.u) / (a.size * b.size), 6) DESC, b.record_id) AS n FROM vn a JOIN vn b ON a.vec_id // 10 = b.vec_id // 10 AND a.vec_id > b.vec_id WHERE round(list_dot_product(a.u, b.u) / (a.size * b.size), 6) >= 0.1) WHERE n = 1",
+)
+def dedup_confirm(spark, sf_dir):
+    from .policies import Dedup
+
+    e = _t(spark, sf_dir, "embeddings")
+    a, b = e.select(F.col("vec_id").alias("x")), e.select(F.col("vec_id").alias("y"))
+    pairs = a.join(b, F.floor(F.col("x") / 10) == F.floor(F.col("y") / 10)).where("x > y").select(F.concat(F.lit("d"), "x").alias("new_id"), F.concat(F.lit("d"), "y").alias("old_id"))
+    return semantic.confirmed(pairs, tables.vectors(e), Dedup(cosine=0.1))
+
+
+@query(
+    "reflection_guard",
+    "SELECT 'r' || (event_id // 2) AS reflection_id, round(least(0.9, min(CASE WHEN event_id % 2 = 0 THEN 0.4 ELSE 0.8 END)), 6)::DOUBLE AS trust, (max(event_id % 3) + 1)::INT AS reflection_depth FROM events GROUP BY event_id // 2 HAVING max(event_id % 3) + 1 <= 2 AND bool_and(event_type <> 'error')",
+)
+def reflection_guard(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    ns = F.lit("notes")
+    records = e.select(*tables.record(record_id=F.concat(F.lit("e"), "event_id"), namespace=ns, memory_type=F.lit("episodic"), content=F.col("event_type"), trust=F.when(F.col("event_id") % 2 == 0, 0.4).otherwise(0.8), reflection_depth=F.col("event_id") % 3, status=F.when(F.col("event_type") == "error", "deleted").otherwise("activated")))
+    proposals = e.groupBy(F.floor(F.col("event_id") / 2).alias("g")).agg(F.collect_list(F.concat(F.lit("e"), "event_id")).alias("member_record_ids")).select(F.concat(F.lit("r"), "g").alias("reflection_id"), ns.alias("namespace"), F.lit("c").alias("content"), F.lit(0.9).alias("trust"), "member_record_ids")
+    return lifecycle.reflections(proposals, records).select("reflection_id", F.round("trust", 6).alias("trust"), "reflection_depth")
+
+
+@query(
+    "standing_queries",
+    r"WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark WHERE item_id < 10), w AS (SELECT DISTINCT 't-' || conv_id || '-' || turn AS record_id, 'conv/' || conv_id AS namespace, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term FROM conversations) SELECT query_id, record_id, namespace, term FROM w JOIN q USING (term)",
+)
+def standing(spark, sf_dir):
+    from .streaming.fold import standing_queries
+
+    q = _t(spark, sf_dir, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), "text")
+    return standing_queries(tables.transcript(_t(spark, sf_dir, "conversations")), q)
+
+
+@query("prompt_sync", "SELECT p_brand AS entity, p_size AS version FROM part EXCEPT SELECT p_brand, p_size FROM part WHERE p_partkey % 2 = 0")
+def prompt_sync(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    declared = p.select(F.col("p_brand").alias("entity"), F.col("p_size").alias("version"))
+    return lifecycle.fresh_prompts(declared.distinct(), declared.where("p_partkey % 2 = 0"))
