@@ -45,7 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = durable(loops.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = _mark(now)
     while True:
-        stars = durable(_small_star(_large_star(now).distinct()).distinct(), "links")
+        stars = durable(_small_star(_large_star(now)).distinct(), "links")
         found = _mark(stars)
         discard(now)
         now = stars

@@ -7,14 +7,12 @@ samples that differ, so its population count estimates a high similarity
 sharply; pairs that it puts far below the threshold need no confirmation.
 
 Texts with the same set are one node from then on.  In each bucket of a band
-every node is held against the bucket's smallest node, a star and not all
-pairs.  Nodes that buckets join, directly or not, are a family; in a family
-that the stars leave in more than one component, all pairs of different
-components are compared, block against block of 512 nodes, so no link is lost
-between texts that share a bucket.  A block's pairs are ruled out by sketches
-and counted by an inverted index of full sets inside one task; only links
-leave it, never pairs.  Candidates are always confirmed on full sets made
-again from whole texts.
+every node is tied to the bucket's smallest node, a star and not all pairs, and
+nodes that are tied, directly or not, are a family: any two texts that share a
+bucket are in one.  A family is compared block against block, each of at most
+about 512 nodes and 200,000 shingles, so a task meets two blocks.  Inside it, sketches and sizes rule pairs out,
+an inverted index of full sets made from whole texts counts what the others
+share, and only a spanning forest of the links leaves it, never pairs.
 
 At a similarity of 0.8 a pair shares none of 32 bands of 4 samples with a
 probability of (1 - 0.8^4)^32, or 5 in 100 million."""
@@ -27,7 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -35,8 +33,8 @@ from .shared import bounded_batches, discard, durable
 from .words import blocks, mix, shingles, word_bounds, word_hashes
 
 SAMPLES, BANDS, ROWS, SKETCH_BITS = 128, 32, 4, 512
-#: Nodes of a family that are compared at once with as many others.
-BLOCK_NODES = 512
+#: Nodes of a family, and the shingles of all their sets, that are compared at once with as many others.
+BLOCK_NODES, BLOCK_SHINGLES = 512, 200_000
 #: A pair at the threshold of 0.8 differs in 25.6 of 128 samples on average; 53 are six
 #: deviations more, their 106 flips set 87 bits of 512 on average, and 23 more are four deviations.
 SKETCH_LIMIT = 110
@@ -93,14 +91,6 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
     return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, n long, digest binary, bands array<long>, odd array<long>")
 
 
-def odd_distance(a: Column, b: Column) -> Column:
-    """Population count of the exclusive-or of two sketches."""
-    total = F.lit(0)
-    for k in range(SKETCH_BITS // 64):
-        total = total + F.bit_count(a[k].bitwiseXOR(b[k]))
-    return total
-
-
 def _sets(column: pa.Array, width: int) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for _, _, data, offs in blocks(column):
@@ -109,70 +99,57 @@ def _sets(column: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity."""
-    kind = pairs.schema["a"].dataType.simpleString()
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("body").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("body").alias("ta")), "a").select("a", "b", "ta", "tb")
+def compared(nodes: DataFrame, width: int, percent: int, kind: str) -> DataFrame:
+    """Links (a, b, whole) inside families that join all nodes which links join.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # neighbouring rows often share their first text: its set is made once
-            left = batch.column(2).dictionary_encode()
-            left_sets = _sets(left.dictionary, width)
-            keep = []
-            for i, other in zip(left.indices.to_pylist(), _sets(batch.column(3), width)):
-                mine = left_sets[i]
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(mine) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def across(nodes: DataFrame, width: int, percent: int, kind: str) -> DataFrame:
-    """The links (a, b) between different parts of one family.  ``nodes`` has
-    family, size (of the family), node, part, n, odd and body.
-
-    A family is dealt into blocks of about ``BLOCK_NODES``; each pair of its
-    blocks is a group of two blocks at most, whatever the family's size."""
-    blocks_of = F.ceil(F.col("size") / BLOCK_NODES).cast("int")
+    ``nodes`` has family, blocks (the number that the family is dealt into),
+    node, n, odd and body; each pair of blocks is a group.  ``whole``: the
+    family is one block, and b is already the smallest node of a's component."""
+    blocks_of = F.col("blocks")
     dealt = nodes.withColumn("block", F.pmod(F.xxhash64("node"), blocks_of).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks_of - 1)))
-    dealt = dealt.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "part", "n", "odd", "body")
+    dealt = dealt.select("family", "blocks", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "odd", "body")
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
         block = table.column("block").to_numpy()
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        part, n = table.column("part").to_numpy(), table.column("n").to_numpy()
-        odd = np.array(table.column("odd").to_pylist(), np.int64)
+        lo, hi, whole = table.column("lo")[0].as_py(), table.column("hi")[0].as_py(), table.column("blocks")[0].as_py() == 1
+        n = table.column("n").to_numpy()
+        odd = np.array(table.column("odd").to_pylist(), np.int64).view(np.uint64)
         left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        rows = []
-        if len(left) and len(right):
-            sets: list[np.ndarray] | None = None
-            for i in left.tolist():
-                far = np.bitwise_count((odd[i] ^ odd[right]).view(np.uint64)).sum(axis=1)
-                size = 100 * np.minimum(n[i], n[right]) >= percent * np.maximum(n[i], n[right])
-                near = right[(part[right] != part[i]) & size & (far <= SKETCH_LIMIT)]
-                if lo == hi:
-                    near = near[near > i]
-                if not len(near):
-                    continue
-                if sets is None:  # only now are the texts needed: one sorted index of the right block
-                    sets = _sets(table.column("body"), width)
-                    key = np.concatenate([sets[j] for j in right.tolist()])
-                    owner = np.repeat(right, [len(sets[j]) for j in right.tolist()])
-                    order = np.argsort(key, kind="stable")
-                    key, owner = key[order], owner[order]
-                a, b = np.searchsorted(key, sets[i]), np.searchsorted(key, sets[i], "right")
-                hits = b > a
-                a, b = a[hits], b[hits]
-                at = np.repeat(a - np.r_[0, np.cumsum(b - a)[:-1]], b - a) + np.arange(int((b - a).sum()))
-                both = np.bincount(owner[at], minlength=table.num_rows)[near]
-                rows += [(i, j) for j in near[100 * both >= percent * (n[i] + n[near] - both)].tolist()]
-        node = table.column("node")
-        at = np.array(rows, np.int64).reshape(-1, 2)
-        return pa.table({"a": node.take(pa.array(at[:, 0])), "b": node.take(pa.array(at[:, 1]))})
-
-    return dealt.groupBy("family", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}")
+        part = np.arange(table.num_rows)  # each row's component so far: its smallest row
+        forest = []
+        index = None
+        for i in left.tolist() if len(right) else []:
+            far = np.bitwise_count(odd[i] ^ odd[right]).sum(axis=1)
+            size = 100 * np.minimum(n[i], n[right]) >= percent * np.maximum(n[i], n[right])
+            near = right[size & (far <= SKETCH_LIMIT) & (part[right] != part[i])]
+            if lo == hi:
+                near = near[near > i]
+            if not len(near):
+                continue
+            if index is None:  # only now are the texts needed
+                sets = _sets(table.column("body"), width)
+                key = np.concatenate([sets[j] for j in right.tolist()])
+                owner = np.repeat(right, [len(sets[j]) for j in right.tolist()])
+                order = np.argsort(key, kind="stable")
+                index = key[order], owner[order]
+            key, owner = index
+            a, b = np.searchsorted(key, sets[i]), np.searchsorted(key, sets[i], "right")
+            hits = b > a
+            a, b = a[hits], b[hits]
+            at = np.repeat(a - np.r_[0, np.cumsum(b - a)[:-1]], b - a) + np.arange(int((b - a).sum()))
+            both = np.bincount(owner[at], minlength=table.num_rows)[near]
+            for j in near[100 * both >= percent * (n[i] + n[near] - both)].tolist():
+                if part[i] != part[j]:
+                    forest.append((i, j))
+                    least = min(part[i], part[j])
+                    part[(part == part[i]) | (part == part[j])] = least
+        if whole:
+            forest = [(i, int(p)) for i, p in enumerate(part) if p != i]
+        node, at = table.column("node"), np.array(forest, np.int64).reshape(-1, 2)
+        return pa.table({"a": node.take(pa.array(at[:, 0])), "b": node.take(pa.array(at[:, 1])), "whole": pa.array(np.full(len(at), whole))})
+
+    return dealt.groupBy("family", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}, whole boolean")
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,7 +166,6 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     if not 80 <= percent <= 100:
         raise ValueError("the bands are set for similarities of 80 to 100 percent")
     bounded_batches(docs.sparkSession)
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     drawn = durable(sketches(docs, width, id_col, text_col), "sketches")
     full = drawn.where("n > 0 and id is not null")
@@ -198,32 +174,19 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     # buckets that hold more than one node, with their smallest
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    member = durable(rows.join(shared, "bucket").select("bucket", "node", "centre"), "buckets")
-    wanted = durable(member.select("node").distinct(), "wanted")
-    facts = durable(nodes.join(wanted, "node").select("node", "n", "odd"), "facts")
-    texts = durable(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(wanted.withColumnRenamed("node", "id"), "id").groupBy("id").agg(F.min("body").alias("body")), "texts")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        """Those whose sizes and sketches do not rule the similarity out."""
-        a = facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"))
-        b = facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"))
-        return pairs.join(a, "a").join(b, "b").where(_possible("na", "nb", "oa", "ob", percent)).select("a", "b")
-
-    stars = likely(member.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
-    links = durable(confirmed(stars, texts, width, percent), "confirmed")
-    first = durable(components(links), "components")
-
-    # what the stars have not settled: families with more than one component
-    family = components(member.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "family")
-    told = durable(family.join(first.withColumnRenamed("component", "part"), "node", "left").select("family", "node", F.coalesce("part", "node").alias("part")), "families")
-    mixed = told.groupBy("family").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("family", "size")
-    open_nodes = told.join(mixed, "family").join(facts, "node").join(texts.withColumnRenamed("id", "node"), "node")
-    more = durable(across(open_nodes, width, percent, kind), "confirmed")
-    if more.isEmpty():
-        parts = first
-    else:
-        parts = durable(components(links.unionByName(more)), "components")
-    discard(member, facts, texts, told, links, more)
+    ties = rows.join(shared, "bucket").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    family = components(ties).withColumnRenamed("component", "family").join(nodes.select("node", "n", "odd"), "node")
+    family = durable(family, "families")
+    needs = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = family.groupBy("family").agg(needs.alias("blocks"))
+    # always one shuffle of the texts: a small input must not plan otherwise than a large one
+    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("body")).join(family.select("node").hint("merge"), "node").groupBy("node").agg(F.min("body").alias("body"))
+    links = durable(compared(texts.join(family.join(sizes, "family"), "node"), width, percent, kind), "links")
+    parts = links.where("whole").select(F.col("a").alias("node"), F.col("b").alias("component"))
+    over = links.where("not whole").select("a", "b")
+    if not over.isEmpty():
+        parts = parts.unionByName(components(over))
+    discard(family)
 
     home = nodes.select("digest", "node").join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = drawn.select("id", "n", "digest").join(home, "digest", "left")
@@ -232,11 +195,6 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
-def _possible(na: str, nb: str, oa: str, ob: str, percent: int) -> Column:
-    size = 100 * F.least(F.col(na), F.col(nb)) >= percent * F.greatest(F.col(na), F.col(nb))
-    return size & (odd_distance(F.col(oa), F.col(ob)) <= SKETCH_LIMIT)
-
-
 def dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one document of each group.
     Edge cases as in :func:`near_groups`; rows that repeat an id stay or go together."""
