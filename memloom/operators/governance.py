@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.iterate import grow
+from ..plans.ordering import counted_before
 from ..policies import Firewall
 
 # Trust by role, outside channels, and the texts that read like instructions.
@@ -52,21 +53,21 @@ def prefix_bridges(rows: DataFrame, policy: Firewall = Firewall()) -> DataFrame:
     that begins like a different recent one of its namespace.
 
     Recent are the last ``recent`` before it that are not quarantined.  Rows
-    are numbered along the log; equal prefixes meet in an equi-join on a hash
-    of the prefix, and the distance in numbers decides."""
-    order = Window.partitionBy("namespace").orderBy("recorded_at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    clean = F.when(~F.coalesce("quarantined", F.lit(False)), 1).otherwise(0)
-    numbered = rows.withColumn("__before", F.coalesce(F.sum(clean).over(order), F.lit(0))).withColumn("__clean", clean)
-    long = numbered.where(F.length("content") >= policy.prefix_chars).withColumn("__p", F.xxhash64(F.substring("content", 1, policy.prefix_chars)))
+    are numbered along the log, range by range; rows of one prefix meet by its
+    digest, and the distance in numbers decides.  Texts are not shuffled."""
+    begin = F.substring("content", 1, policy.prefix_chars)
+    slim = rows.select("record_id", "namespace", "recorded_at", (~F.coalesce("quarantined", F.lit(False))).cast("int").alias("__clean"), F.when(F.length("content") >= policy.prefix_chars, F.sha2(begin, 256)).alias("__p"), F.sha2("content", 256).alias("__h"))
+    numbered = counted_before(slim, "__before", ["recorded_at", "record_id"], ["namespace"], F.col("__clean"))
+    long = numbered.where("__p is not null")
     # the last different text of the same beginning: within one prefix, the latest row before whose text is another
-    within = Window.partitionBy("namespace", "__p", F.substring("content", 1, policy.prefix_chars)).orderBy("recorded_at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.when(F.col("__clean") == 1, F.struct((F.col("__before") + 1).alias("n"), F.xxhash64("content").alias("h")))
+    within = Window.partitionBy("namespace", "__p").orderBy("recorded_at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.when(F.col("__clean") == 1, F.struct((F.col("__before") + 1).alias("n"), F.col("__h").alias("h")))
     last = F.last(seen, ignorenulls=True).over(within)
     long = long.withColumn("__last", last)
     # the latest of another text is either the last row or the last of the run of texts before it
-    changed = F.when((F.col("__clean") == 1) & F.col("__last").isNotNull() & (F.col("__last.h") != F.xxhash64("content")), F.col("__last.n"))
+    changed = F.when((F.col("__clean") == 1) & F.col("__last").isNotNull() & (F.col("__last.h") != F.col("__h")), F.col("__last.n"))
     run = F.last(changed, ignorenulls=True).over(within)
-    latest = F.when(F.col("__last.h") != F.xxhash64("content"), F.col("__last.n")).otherwise(run)
+    latest = F.when(F.col("__last.h") != F.col("__h"), F.col("__last.n")).otherwise(run)
     hit = long.withColumn("__latest", latest).where(F.col("__latest").isNotNull() & (F.col("__latest") > F.col("__before") - policy.recent)).select("record_id", F.lit(True).alias("bridge"))
     return rows.join(hit, "record_id", "left").withColumn("bridge", F.coalesce("bridge", F.lit(False)))
 

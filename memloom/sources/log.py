@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ordering import counted_before
 from ..schema import EVENT
 
 MODES = ("full", "rolling", "ephemeral")
@@ -18,14 +19,9 @@ def number(events: DataFrame, after: int = 0) -> DataFrame:
     Rows are range-partitioned by time; each partition numbers its own rows and
     adds the counts of those before it, so no task sees the whole batch."""
     cols = [c for c in events.columns if c not in ("seq", "batch_pos")]
-    by = [F.col("ts"), F.col("batch_pos")] if "batch_pos" in events.columns else [F.col("ts")]
-    ranged = events.repartitionByRange(*by).withColumn("__p", F.spark_partition_id())
-    counts = ranged.groupBy("__p").count()
-    start = F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("__p", start.alias("__start"))
-    own = F.row_number().over(Window.partitionBy("__p").orderBy(*by))
-    out = ranged.withColumn("__n", own).join(starts, "__p")
-    return out.select((F.lit(after) + F.col("__start") + F.col("__n")).cast("long").alias("seq"), *cols)
+    order = ["ts", *["batch_pos"] * ("batch_pos" in events.columns)]
+    out = counted_before(events, "__before", order)
+    return out.select((F.lit(after + 1) + F.col("__before")).cast("long").alias("seq"), *cols)
 
 
 def append(spark: SparkSession, path: str, events: DataFrame, mode: str = "full") -> int:
