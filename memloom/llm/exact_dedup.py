@@ -25,7 +25,7 @@ _STATE_STORE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     # one bound for all stores of an executor, and small write buffers: memory does not grow with the number of stores
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     "spark.sql.streaming.stateStore.rocksdb.maxWriteBufferNumber": "2",
 }
@@ -114,10 +114,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # full bytes on hits; a hot key's rows stay apart, as each step writes its join and nothing above needs them together
     hits = durable(rows.join(state.where("n > 1").select("digest", "keep", "n"), "digest"), "dedup-hits")
-    named = hits.where(F.col("id").eqNullSafe(F.col("keep"))).groupBy("digest").agg(F.min("body").alias("keep_body"))
+    named = durable(hits.where(F.col("id").eqNullSafe(F.col("keep"))).groupBy("digest").agg(F.min("body").alias("keep_body")), "dedup-named")
     other = F.when(F.col("body") != F.col("keep_body"), F.col("body")).alias("other")
     checked = durable(hits.join(named, "digest").select("digest", "id", "keep", "n", other), "dedup-checked")
-    discard(hits)
+    discard(hits, named)
     once = state.where("n = 1").select("digest", F.col("keep").alias("id"), "keep", "n")
     if checked.where("other is not null").isEmpty():
         told = checked.drop("other")
