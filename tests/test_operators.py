@@ -339,3 +339,16 @@ def test_prompts(spark):
     with pytest.raises(ValueError):
         Registry([Prompt("a", "x", memory_type="m"), Prompt("a", "x", condition="c")]).select("a", "m", "c")
     assert r.declared(spark).count() == len(r.prompts)
+
+
+def test_counts_along_an_order(spark):
+    import random
+
+    from memloom.plans.ordering import counted_before
+
+    r = random.Random(1)
+    rows = [(k, r.choice("aab"), r.randrange(40), r.randrange(3)) for k in range(300)] + [(300, None, 5, 1), (301, None, 6, 2)]
+    df = spark.createDataFrame(rows, "k int, g string, t int, v int").repartition(5)
+    got = {x.k: x.before for x in counted_before(df, "before", ["t", "k"], ["g"], F.col("v")).collect()}
+    assert got == {k: sum(w for j, h, u, w in rows if h == g and (u, j) < (t, k)) for k, g, t, _ in rows}
+    assert counted_before(df.limit(0), "before", ["t"]).count() == 0
