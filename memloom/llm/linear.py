@@ -131,12 +131,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def platt(margin: np.ndarray, y: np.ndarray, balanced: bool = True) -> tuple[float, float]:
+def platt(margin: np.ndarray, y: np.ndarray, balance: float = 1.0) -> tuple[float, float]:
     """Slope and offset that turn margins into probabilities: logistic regression
-    with softened targets, by Newton's method; ``balanced``: each class of equal weight."""
+    with softened targets, by Newton's method.  ``balance``: 1 gives the classes equal weight, 0
+    leaves them as they are."""
     n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0) if balanced else np.full(len(y), 1 / max(1, len(y)))
+    weight = np.where(y == 1, n1**-balance, n0**-balance)
+    weight /= max(weight.sum(), 1e-300)
     t = np.array([1.0, 0.0])
     x = np.c_[margin, np.ones(len(margin))]
     for _ in range(50):

@@ -39,7 +39,7 @@ _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Fa
 
 
 #: Beginnings of so many bytes count as features of a word that is longer.
-BEGINNINGS = (4, 5, 6, 8)
+BEGINNINGS = (4, 5, 7)
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +99,7 @@ class Model:
         return sigmoid(self.slope * self.margin(text, column, n) + self.offset)
 
 
-def fit(sample: Sample, least: int = 4, l1: float = 1e-3, counterfactual: float = 1.0, rounds: int = 300, candidates: int = 5000) -> Model:
+def fit(sample: Sample, least: int = 4, l1: float = 4e-4, counterfactual: float = 1.0, rounds: int = 300, candidates: int = 5000) -> Model:
     """Accelerated proximal gradient; the two classes weigh alike.  Only the
     ``candidates`` features take part whose shares in the classes differ most surely."""
     y = sample.y
@@ -139,10 +139,10 @@ def fit(sample: Sample, least: int = 4, l1: float = 1e-3, counterfactual: float
         w = np.sign(step) * np.maximum(np.abs(step) - l1 / np.maximum(curve, 1e-12), 0)
         b = c - gb / bias_curve
     margin = np.bincount(row, w[column], len(y)) + b
-    return Model(names, w, b, *platt(margin, y, balanced=False))
+    return Model(names, w, b, *platt(margin, y, balance=0.5))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, may_learn: Column, rows_per_class: int = 4000, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, may_learn: Column, rows_per_class: int = 2500, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``score`` (0 to 1, higher: toxic likelier) and ``predicted`` for every row.
 
     The model learns from at most ``rows_per_class`` whole labelled texts of
@@ -155,7 +155,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, may_learn: Column, rows_
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4000, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, rows_per_class: int = 2500, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with a score under 0.5, with all their columns.
     Edge cases as in :func:`toxicity_scores`; without labels all rows stay."""
     model = fit(collect_features(labelled_sample(docs, labels, label, F.lit(True), rows_per_class, id_col, text_col), features))
