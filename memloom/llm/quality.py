@@ -132,7 +132,7 @@ def fit(sample, least: int = 3, cost: float = 1.0, towards_mean: float = 0.75) -
     return Model(names, ratio, weights(np.arange(len(y))), slope, offset)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, may_learn: Column, rows_per_class: int = 3000, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, may_learn: Column, rows_per_class: int = 2500, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``score`` (0 to 1, higher: class 1 likelier) and ``predicted`` for every row.
 
     The model learns from at most ``rows_per_class`` whole labelled texts of

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are handled in blocks of about this many bytes; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _U = np.uint64
 _BASE = 6364136223846793005  # odd, 5 modulo 8: its powers have the longest period
