@@ -311,3 +311,9 @@ def test_finds_in_whole_texts(spark):
     assert [tuple(s) for s in got[len(ODD) + 1].base] == [("email", 5, 11), ("ip", 16, 23)]
     assert all(not got[k].spans for k in range(len(ODD))) and not got[len(ODD) + 2].spans
     assert pii.find_pii(docs(spark, [])).count() == 0
+
+
+def test_forms_that_the_patterns_miss():
+    texts = ["please write to jo.doe at example dot com or call (555) 201-3344 today", "ann_b [at] mail7 [dot] example [dot] org is mine", "see the dot at the end of it", "no 10.0.0.300, version 4.0."]
+    got = [[(k, t[a:b]) for k, a, b in added] for t, (_, added) in zip(texts, pii.text_spans(texts, pii.trained()))]
+    assert got == [[("email", "jo.doe at example dot com"), ("phone", "(555) 201-3344")], [("email", "ann_b [at] mail7 [dot] example [dot] org")], [], []]
