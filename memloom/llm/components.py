@@ -1,10 +1,10 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Each round hangs a node's neighbours on the smallest of them; rounds are few
-(a logarithm of the longest chain), all data stays in tables, and each round
-is written in the shared folder, so lineage does not grow.  A node with very
-many neighbours is only ever met in partial sums and in joins that adaptive
-execution can split."""
+(a logarithm of the longest chain), all data stays in tables, and every step
+is written in the shared folder, so lineage does not grow.  A node's smallest
+neighbour is a partial sum; it is written before it is joined back, so that
+adaptive execution can split a join in which one node has very many edges."""
 
 from __future__ import annotations
 
@@ -14,21 +14,22 @@ from pyspark.sql import functions as F
 from .shared import discard, durable
 
 
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = _both(edges)
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    """Larger neighbours of a node move to the smallest of the node and all its neighbours."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = durable(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+    out = durable(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")), "stars")
+    discard(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    hung = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return hung.unionByName(least.select("a", F.col("m").alias("b")))
+    """A node and its smaller neighbours hang on the smallest of those; ``edges`` go from larger to smaller."""
+    least = durable(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+    hung = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = durable(hung.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+    discard(least)
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -45,10 +46,11 @@ def components(edges: DataFrame) -> DataFrame:
     now = durable(loops.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = _mark(now)
     while True:
-        stars = durable(_small_star(_large_star(now)).distinct(), "links")
-        found = _mark(stars)
-        discard(now)
-        now = stars
+        large = _large_star(now)
+        small = _small_star(large)
+        discard(now, large)
+        now = small
+        found = _mark(now)
         if found == mark:
             break
         mark = found
