@@ -27,10 +27,12 @@ _U = np.uint64
 class RepetitionRules:
     """A text is rejected if its repeats of ``min_span`` words or more cover
     more than ``max_covered`` of its words, or if one repeat is longer than
-    ``max_repeat`` words."""
+    ``max_repeat`` words.  What such repeats cover also lies in repeated
+    three-word windows, so a share at or above the limit that those have (a half
+    in the base rules) would never act."""
 
     min_span: int = 8
-    max_covered: float = 0.5
+    max_covered: float = 0.2
     max_repeat: int = 64
 
 

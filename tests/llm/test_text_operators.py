@@ -202,6 +202,19 @@ def test_repetition(spark):
     assert repetition.repetition_counts(docs(spark, [])).count() == 0
 
 
+def test_only_the_suffix_array_rejects(spark, tmp_path):
+    from memloom.llm.queries import op10_repetition
+
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    passage = " ".join(word() for _ in range(12))
+    rest = lambda n: " ".join(word() for _ in range(n))
+    texts = [f"{passage} {rest(30)} {passage} {rest(26)}", rest(80), f"{passage} {rest(300)} {passage}"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: (x.covered_words, x.base_failed, x.kept) for x in op10_repetition(spark, str(tmp_path)).collect()}
+    assert got == {0: (24, False, False), 1: (0, False, True), 2: (24, False, True)}
+
+
 # --- packing
 
 
