@@ -483,7 +483,7 @@ def communities(spark, sf_dir):
 )
 def dedup_candidates(spark, sf_dir):
     d = tables.documents(_t(spark, sf_dir, "documents")).select("record_id", "namespace", "content")
-    return semantic.candidates(semantic.minhash(d).join(d.select("record_id", "namespace"), "record_id"))
+    return semantic.candidates(semantic.minhash(d, keep=["namespace"]))
 
 
 @query("hash_embed")

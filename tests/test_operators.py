@@ -108,6 +108,22 @@ def test_similar_texts_are_candidates(spark):
     assert [(r.new_id, r.old_id) for r in semantic.candidates(s).collect()] == [("b", "a")]
 
 
+def test_candidates_are_all_similar_pairs_of_a_bucket(spark, monkeypatch):
+    base = [f"w{k}" for k in range(40)]
+    sets = {"a": base, "b": [*base, "x", "y"], "c": [*base, "x", "z"], "d": [*base[:-1], "q"], "e": [*base[:22], *(f"v{k}" for k in range(60))], "f": ["other", "words"]}
+    sets["a2"], sets["c2"] = sets["a"], [*reversed(sets["c"]), "x"]
+    d = spark.createDataFrame([(k, "n", " ".join(v)) for k, v in sets.items()] + [("m", "p", " ".join(base))], "record_id string, namespace string, content string")
+    nodes = [k for k in sets if len(k) == 1]
+    score = lambda x, y: len({*sets[x]} & {*sets[y]}) / len({*sets[x]} | {*sets[y]})
+    want = {(x, y) for x in nodes for y in nodes if x > y and score(x, y) >= 0.6} | {("a2", "a"), ("c2", "c")}
+    assert {("c", "b"), ("d", "b"), ("d", "c")} <= want
+    for size in (512, 1):  # a bucket in one block, and each node in its own
+        monkeypatch.setattr(semantic, "BLOCK_NODES", size)
+        s = semantic.minhash(d).join(d.select("record_id", "namespace"), "record_id")
+        got = [(r.new_id, r.old_id) for r in semantic.candidates(s).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_rank_on_a_star_and_a_tombstone(spark):
     edges = spark.createDataFrame([("hub", x, "related", 1.0) for x in "abcd"] + [("a", "z", "related", 0.0)], "src string, dst string, rel string, weight double")
     seeds = spark.createDataFrame([(1, "a")], "query_id int, node string")
