@@ -424,7 +424,17 @@ SELECT seed, node AS record_id FROM r WHERE seed <> node
 """,
 )
 def taint_closure(spark, sf_dir):
-    d = _t(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select(F.concat(F.lit("s"), "l_suppkey").alias("s"), F.concat(F.lit("p"), "l_partkey").alias("p"), F.col("l_orderkey").cast("long").alias("seq"))
+    return _tainted(_t(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0"))
+
+
+@query("taint_closure_whole")
+def taint_closure_whole(spark, sf_dir):
+    """Over all lines; the recursive SQL would be too slow, so a test holds it against a plain search."""
+    return _tainted(_t(spark, sf_dir, "lineitem"))
+
+
+def _tainted(lines: DataFrame) -> DataFrame:
+    d = lines.select(F.concat(F.lit("s"), "l_suppkey").alias("s"), F.concat(F.lit("p"), "l_partkey").alias("p"), F.col("l_orderkey").cast("long").alias("seq"))
     events = d.select("seq", F.lit("memory.link").alias("kind"), F.lit("graph").alias("namespace"), F.lit("loader").alias("actor"), _now().alias("ts"), tables.payload(src=F.col("s"), dst=F.col("p"), rel=F.lit("related"), weight=F.lit(1.0)).alias("payload"))
     seeds = d.select(F.col("s").alias("record_id")).where(F.col("record_id").isin("s1", "s2", "s3")).distinct()
     return governance.tainted(seeds, governance.derivations(events)).select("seed", "record_id")
@@ -471,8 +481,7 @@ def prune_weakest(spark, sf_dir):
 
 @query("communities")
 def communities(spark, sf_dir):
-    e = _t(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.lit("related").alias("rel"), F.lit(1.0).alias("weight"))
-    return graph.communities(e)
+    return graph.communities(_edges(spark, sf_dir))
 
 
 # --- write path and ingest ------------------------------------------------

@@ -148,6 +148,41 @@ def test_communities_of_two_cliques(spark):
     assert len({got[x] for x in "abcd"}) == 1 == len({got[x] for x in "wxyz"}) and got["a"] != got["z"]
 
 
+def test_communities_settle(spark):
+    path = [(f"p{k:02}", f"p{k + 1:02}", "related", 1.0) for k in range(24)] + [("x", "y", "related", 1.0), ("y", "z", "related", 1.0), ("x", "z", "related", 1.0)]
+    edges = spark.createDataFrame(path, "src string, dst string, rel string, weight double")
+    for rounds, most in ((10, 1000), (1, 10)):
+        got = {r.node: (r.community, r.size) for r in graph.communities(edges, rounds, 1, max_size=most).collect()}
+        labels = {k: v[0] for k, v in got.items()}
+        assert len(got) == 28 and all(v == sum(x == c for x in labels.values()) for c, v in got.values())
+        for node in labels:
+            pull = {labels[node]: 1.0}
+            for a, b, _, w in path:
+                if node in (a, b):
+                    other = labels[b if node == a else a]
+                    pull[other] = pull.get(other, 0.0) + w
+            assert pull[labels[node]] == max(pull.values()), node
+
+
+def test_whole_graph_queries_read_all_lines(spark, tmp_path):
+    from memloom import queries
+
+    lines = [(k, k % 7 + 1, k % 11 + 1) for k in range(1, 40)] + [(45, 9, 20), (46, 9, 21)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    beside = {}
+    for _, x, y in lines:
+        beside.setdefault(f"s{x}", set()).add(f"p{y}")
+        beside.setdefault(f"p{y}", set()).add(f"s{x}")
+    want = set()
+    for seed in ("s1", "s2", "s3"):
+        seen, front = {seed}, [seed]
+        while front:
+            front = [n for x in front for n in beside[x] if n not in seen and not seen.add(n)]
+        want |= {(seed, n) for n in seen - {seed}}
+    assert {(r.seed, r.record_id) for r in queries.QUERIES["taint_closure_whole"](spark, str(tmp_path)).collect()} == want
+    assert queries.QUERIES["communities"](spark, str(tmp_path)).count() > 0
+
+
 def log_of(spark, rows):
     """(kind, payload dict) in order; seq from 1."""
     out = None
