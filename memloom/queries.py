@@ -380,9 +380,26 @@ SELECT 'c' || id AS record_id, votes, votes >= 2 AS lifted FROM v
 """,
 )
 def corroborate(spark, sf_dir):
+    return _corroborated(spark, sf_dir, F.col("c_custkey") % 10 == 0, F.col("c_custkey") % 10 == 1)
+
+
+@query(
+    "corroborate_whole",
+    """
+WITH c AS (SELECT c_custkey AS id, c_nationkey AS e, c_mktsegment AS fp FROM customer),
+v AS (SELECT h.id, count(DISTINCT i.id) AS votes FROM c h JOIN c i ON h.e = i.e AND h.fp = i.fp WHERE h.id % 10 = 0 AND i.id % 10 <> 0 GROUP BY h.id)
+SELECT 'c' || id AS record_id, votes, votes >= 2 AS lifted FROM v
+""",
+)
+def corroborate_whole(spark, sf_dir):
+    """Every customer is either held or incoming."""
+    return _corroborated(spark, sf_dir, F.col("c_custkey") % 10 == 0, F.col("c_custkey") % 10 != 0)
+
+
+def _corroborated(spark, sf_dir, held, incoming) -> DataFrame:
     c = _t(spark, sf_dir, "customer")
     base = c.select(F.concat(F.lit("c"), "c_custkey").alias("record_id"), F.col("c_nationkey").cast("string").alias("namespace"), F.lit("semantic").alias("memory_type"), F.lit(None).cast("string").alias("entity"), F.lit(None).cast("string").alias("attribute"), F.col("c_mktsegment").alias("content_fingerprint"), F.lit("user").alias("role"), F.when(F.col("c_custkey") % 10 == 0, "web").otherwise("messages").alias("channel"), F.lit(0.7).alias("trust"), F.lit(0).alias("corroborations"), "c_custkey")
-    return governance.corroborated(base.where("c_custkey % 10 = 0"), base.where("c_custkey % 10 = 1"))
+    return governance.corroborated(base.where(held), base.where(incoming))
 
 
 @query(
@@ -571,6 +588,12 @@ def dedup_confirm(spark, sf_dir):
     return semantic.confirmed(pairs, tables.vectors(e), Dedup(cosine=0.1))
 
 
+@query("dedup_confirm_found")
+def dedup_confirm_found(spark, sf_dir):
+    """The pairs that dedup_candidates finds, confirmed by the documents' embeddings."""
+    return semantic.confirmed(dedup_candidates(spark, sf_dir).select("new_id", "old_id"), tables.vectors(_t(spark, sf_dir, "embeddings")))
+
+
 @query(
     "reflection_guard",
     "SELECT 'r' || (event_id // 2) AS reflection_id, round(least(0.9, min(CASE WHEN event_id % 2 = 0 THEN 0.4 ELSE 0.8 END)), 6)::DOUBLE AS trust, (max(event_id % 3) + 1)::INT AS reflection_depth FROM events GROUP BY event_id // 2 HAVING max(event_id % 3) + 1 <= 2 AND bool_and(event_type <> 'error')",
@@ -588,9 +611,22 @@ def reflection_guard(spark, sf_dir):
     r"WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark WHERE item_id < 10), w AS (SELECT DISTINCT 't-' || conv_id || '-' || turn AS record_id, 'conv/' || conv_id AS namespace, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term FROM conversations) SELECT query_id, record_id, namespace, term FROM w JOIN q USING (term)",
 )
 def standing(spark, sf_dir):
+    return _standing(spark, sf_dir, _t(spark, sf_dir, "benchmark").where("item_id < 10"))
+
+
+@query(
+    "standing_queries_whole",
+    r"WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark), w AS (SELECT DISTINCT 't-' || conv_id || '-' || turn AS record_id, 'conv/' || conv_id AS namespace, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term FROM conversations) SELECT query_id, record_id, namespace, term FROM w JOIN q USING (term)",
+)
+def standing_whole(spark, sf_dir):
+    """All of ``benchmark`` as subscriptions."""
+    return _standing(spark, sf_dir, _t(spark, sf_dir, "benchmark"))
+
+
+def _standing(spark, sf_dir, items: DataFrame) -> DataFrame:
     from .streaming.fold import standing_queries
 
-    q = _t(spark, sf_dir, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), "text")
+    q = items.select(F.col("item_id").alias("query_id"), "text")
     return standing_queries(tables.transcript(_t(spark, sf_dir, "conversations")), q)
 
 

@@ -23,6 +23,11 @@ def test_query(spark, con, name):
         assert df.count() >= 0
 
 
+def test_every_standing_query_is_read(spark):
+    items = {r.query_id for r in memory.QUERIES["standing_queries_whole"](spark, SF).select("query_id").distinct().collect()}
+    assert max(items) >= 10
+
+
 def test_entry_imports_without_the_corpus_package(tmp_path):
     import shutil
     import subprocess
