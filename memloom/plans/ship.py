@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from .iterate import LOCAL_FALLBACK
+from .iterate import shared_root
 
 _sent: set[str] = set()
 
@@ -24,7 +24,7 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, p.relative_to(top.parent))
-    root = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK).rstrip("/")
+    root = shared_root(spark)
     path = sc._jvm.org.apache.hadoop.fs.Path(f"{root}/memloom/package-{uuid.uuid4().hex[:12]}/{top.name}.zip")
     out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
     out.write(bytearray(packed.getvalue()))
