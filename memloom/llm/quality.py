@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linear import collect_features, distinct, indexed, labelled_sample, platt, scored, sigmoid
-from .words import mix, word_bounds, word_hashes
+from .words import codes, mix, paired, runs, strong, word_bounds
 
 _U = np.uint64
 _KIND = np.full(256, 12, np.uint64)
@@ -29,12 +29,13 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     text = np.repeat(np.arange(len(offs) - 1), np.diff(first))
     if not n:
         return text, np.zeros(0, _U)
-    word = word_hashes(data, starts, ends)
-    salted = mix(word ^ mix(text.astype(_U)))
+    code, words = codes(data, starts, ends)
+    word = strong(words)[code]
+    own = paired(text, code)  # equal words of one text
     same = np.zeros(n, bool)
-    same[1:] = salted[1:] == salted[:-1]
-    window = np.full(n, 0, _U)
-    window[2:] = mix(mix(salted[2:] * _U(3) + salted[1:-1]) + salted[:-2])
+    same[1:] = own[1:] == own[:-1]
+    window = np.full(n, -1, np.int64)
+    window[2:] = runs(own, 3)
     order = np.argsort(window, kind="stable")
     equal = window[order[1:]] == window[order[:-1]]
     again = np.zeros(n, bool)
@@ -108,28 +109,29 @@ def fit(sample, least: int = 3, cost: float = 1.0, towards_mean: float = 0.75) -
     size = len(names)
     if not size:
         return constant(np.zeros(0))
-    p = 1.0 + np.bincount(column[y[row] == 1], minlength=size)
-    q = 1.0 + np.bincount(column[y[row] == 0], minlength=size)
-    # each class's counts as shares of its texts, so that long texts of one class do not tilt all ratios
-    ratio = np.log(p / ((y == 1).sum() + 2)) - np.log(q / ((y == 0).sum() + 2))
-    norm = np.sqrt(np.bincount(row, ratio[column] ** 2, len(y)))
-    value = ratio[column] / np.maximum(norm, 1e-12)[row]
     sign = np.where(y == 1, 1.0, -1.0)
     share = np.where(y == 1, (y == 1).mean(), (y == 0).mean())
     costs = cost * 0.5 / share
 
-    def weights(rows: np.ndarray) -> np.ndarray:
+    def learnt(mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ratios and weights from these rows alone."""
+        of = mine[row]
+        p = 1.0 + np.bincount(column[of & (y[row] == 1)], minlength=size)
+        q = 1.0 + np.bincount(column[of & (y[row] == 0)], minlength=size)
+        # each class's counts as shares of its texts, so that long texts of one class do not tilt all ratios
+        ratio = np.log(p / ((mine & (y == 1)).sum() + 2)) - np.log(q / ((mine & (y == 0)).sum() + 2))
+        value = ratio[column] / np.maximum(np.sqrt(np.bincount(row, ratio[column] ** 2, len(y))), 1e-12)[row]
+        rows = np.flatnonzero(mine)
         at2 = np.r_[0, np.cumsum(np.diff(at)[rows])]
-        pick = np.concatenate([np.arange(at[i], at[i + 1]) for i in rows]) if len(rows) else np.zeros(0, np.int64)
-        w = dual_coordinate_descent(at2, column[pick], value[pick], sign[rows], costs[rows], size)
-        return (1 - towards_mean) * np.abs(w).mean() + towards_mean * w
+        w = dual_coordinate_descent(at2, column[of], value[of], sign[rows], costs[rows], size)
+        return ratio, (1 - towards_mean) * np.abs(w).mean() + towards_mean * w
 
-    # margins of rows that a model has not seen set the probability's slope
+    # margins of rows that neither ratios nor weights have seen set the probability's slope
     held = np.arange(len(y)) % 5 == 0
-    part = weights(np.flatnonzero(~held))
-    margin = np.bincount(row, part[column] * value, len(y))
+    ratio, part = learnt(~held)
+    margin = Model(names, ratio, part, 1.0, 0.0).margin(row, column, len(y))
     slope, offset = platt(margin[held], y[held]) if 0 < y[held].mean() < 1 else (4.0, 0.0)
-    return Model(names, ratio, weights(np.arange(len(y))), slope, offset)
+    return Model(names, *learnt(np.ones(len(y), bool)), slope, offset)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, may_learn: Column, rows_per_class: int = 2500, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
