@@ -149,7 +149,33 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = repetition.repetition_counts(_table(spark, sf_dir, "documents"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return got.withColumn("base_failed", base).withColumn("kept", ~base & ~F.col("repetitive")).drop("repetitive")
+    got = got.withColumn("base_failed", base).withColumn("kept", ~base & ~F.col("repetitive"))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", (F.col("longest_repeat") > 64).alias("has_long_repeat"))
+
+
+# a word is covered by repeats of eight words or more just where a window of eight that occurs twice covers it,
+# and a repeat is longer than 64 words just where a window of 65 occurs twice
+OP10_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (
+  SELECT doc_id, k, i, md5(array_to_string(ws[i : i + k - 1], ' ')) AS h
+  FROM w, (VALUES (3), (8), (65)) v(k), unnest(range(1, greatest(len(ws) - k + 2, 1))) u(i) WHERE len(ws) >= k
+), again AS (SELECT doc_id, k, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k, h) AS c FROM win) WHERE c > 1),
+cover AS (SELECT doc_id, k, count(DISTINCT i + d) AS n FROM again, range(0, 8) r(d) WHERE k < 65 AND d < k GROUP BY doc_id, k),
+lines AS (
+  SELECT doc_id, sum(c - 1)::BIGINT AS n FROM (
+    SELECT doc_id, line, count(*) AS c FROM (SELECT doc_id, unnest(string_split(body, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line
+  ) GROUP BY doc_id
+), t AS (
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    length(regexp_replace(body, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines,
+    coalesce(a.n, 0)::BIGINT AS n_repeat_words, coalesce(b.n, 0)::BIGINT AS covered_words, w.doc_id IN (SELECT doc_id FROM again WHERE k = 65) AS has_long_repeat
+  FROM w LEFT JOIN lines l USING (doc_id) LEFT JOIN cover a ON a.doc_id = w.doc_id AND a.k = 3 LEFT JOIN cover b ON b.doc_id = w.doc_id AND b.k = 8
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (covered_words > 0.2 * n_words OR has_long_repeat) AS kept, covered_words, has_long_repeat
+FROM t
+"""
 
 
 def queries() -> dict[str, Query]:
@@ -168,4 +194,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op6_mixing": OP6_SQL, "op5_near_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op1_chat_format": OP1_SQL, "op6_mixing": OP6_SQL, "op5_near_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op10_repetition": OP10_SQL}

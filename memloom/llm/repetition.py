@@ -1,15 +1,19 @@
 """Quality rules from a suffix array: how much of a text repeats itself.
 
 Each block of texts gets one suffix array over words, by prefix doubling that
-only carries the suffixes which are not yet told apart.  The ranks of every
-doubling step are kept, so the longest common prefix of neighbouring suffixes
-comes from one descent through the steps.  A suffix's longest repeat is the
-larger prefix shared with its two neighbours; the union of those spans of at
-least ``min_span`` words is what all maximal repeated substrings cover.
+only carries the suffixes which are not yet told apart.  Words are told apart
+by their bytes, and suffixes of different texts by the text.  The longest
+common prefix of neighbouring suffixes comes from one descent through the
+ranks of the doubling steps or, for a text of very many words, from one walk
+along the text that keeps no ranks, so memory stays a small multiple of the
+text.  A suffix's longest repeat is the larger prefix shared with its two
+neighbours; the union of those spans of at least ``min_span`` words is what
+all maximal repeated substrings cover.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shared import bounded_batches
-from .words import _SPACE, blocks, mix, word_bounds, word_hashes
+from .words import _SPACE, blocks, codes, paired, runs, word_bounds
 
-_U = np.uint64
+#: Blocks of more words keep no ranks of doubling steps.
+KEEP_RANKS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -36,12 +41,9 @@ class RepetitionRules:
     max_repeat: int = 64
 
 
-def longest_repeats(keys: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """For each word the length of the longest run from there that also starts
-    elsewhere in its text.  ``keys`` tells texts apart; ``stop`` is the word after the text."""
+def _ranks(keys: np.ndarray, stop: np.ndarray, keep: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The place of each suffix among all, and the ranks by the first 1, 2, 4... words if they are to be kept."""
     n = len(keys)
-    if not n:
-        return np.zeros(0, np.int64)
     order = np.argsort(keys, kind="stable")
     new = np.r_[True, keys[order[1:]] != keys[order[:-1]]]
     at = np.flatnonzero(new)
@@ -50,7 +52,7 @@ def longest_repeats(keys: np.ndarray, stop: np.ndarray) -> np.ndarray:
     sizes = np.diff(np.r_[at, n])
     single = np.zeros(n + 1, bool)
     single[at[sizes == 1]] = True
-    levels, k = [rank.copy()], 1
+    levels, k = [rank.copy()] if keep else [], 1
     active = np.flatnonzero(~single[rank])
     while len(active):
         ahead = active + k
@@ -66,13 +68,17 @@ def longest_repeats(keys: np.ndarray, stop: np.ndarray) -> np.ndarray:
         count = np.diff(np.r_[pos[sub], len(i)])
         alone = count[np.cumsum(sub) - 1] == 1
         active = np.sort(i[~alone])
-        levels.append(rank.copy())
+        if keep:
+            levels.append(rank.copy())
         k *= 2
-    suffix = np.empty(n, np.int64)
-    suffix[rank] = np.arange(n)
+    return rank, levels
+
+
+def _by_descent(suffix: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+    """The prefix that each suffix shares with the one before it in order, from the kept ranks."""
+    n = len(suffix)
     x, y = suffix[:-1].copy(), suffix[1:].copy()
-    same = levels[0][x] == levels[0][y]
-    where = np.flatnonzero(same)
+    where = np.flatnonzero(levels[0][x] == levels[0][y])
     x, y, lcp = x[where], y[where], np.zeros(len(where), np.int64)
     for t in range(len(levels) - 1, -1, -1):
         level = levels[t]
@@ -85,6 +91,42 @@ def longest_repeats(keys: np.ndarray, stop: np.ndarray) -> np.ndarray:
         y += step
     shared = np.zeros(n + 1, np.int64)
     shared[where + 1] = lcp
+    return shared
+
+
+def _by_walk(suffix: np.ndarray, keys: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The same, by walking along the text: the shared prefix of the next word's suffix is at most one word shorter."""
+    n = len(suffix)
+    before = np.full(n, -1, np.int64)
+    before[suffix[1:]] = suffix[:-1]
+    key, end, prev, out = (array("q", a.astype(np.int64).tobytes()) for a in (keys, stop, before, np.zeros(n, np.int64)))
+    h = 0
+    for i in range(n):
+        j = prev[i]
+        if j < 0:
+            h = 0
+            continue
+        most = min(end[i] - i, end[j] - j)
+        while h < most and key[i + h] == key[j + h]:
+            h += 1
+        out[i] = h
+        if h:
+            h -= 1
+    shared = np.zeros(n + 1, np.int64)
+    shared[:-1] = np.frombuffer(out, np.int64)[suffix]
+    return shared
+
+
+def longest_repeats(keys: np.ndarray, stop: np.ndarray, keep_ranks: int = KEEP_RANKS) -> np.ndarray:
+    """For each word the length of the longest run from there that also starts
+    elsewhere in its text.  ``keys`` tells texts apart; ``stop`` is the word after the text."""
+    n = len(keys)
+    if not n:
+        return np.zeros(0, np.int64)
+    rank, levels = _ranks(keys, stop, n <= keep_ranks)
+    suffix = np.empty(n, np.int64)
+    suffix[rank] = np.arange(n)
+    shared = _by_descent(suffix, levels) if levels else _by_walk(suffix, keys, stop)
     out = np.empty(n, np.int64)
     out[suffix] = np.maximum(shared[:-1], shared[1:])
     return out
@@ -107,22 +149,19 @@ def _twice(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + lengths, -1)
+    edge = np.bincount(starts, minlength=n + 1) - np.bincount(starts + lengths, minlength=n + 1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def measure(data: np.ndarray, offs: np.ndarray, rules: RepetitionRules) -> dict[str, np.ndarray]:
+def measure(data: np.ndarray, offs: np.ndarray, rules: RepetitionRules, keep_ranks: int = KEEP_RANKS) -> dict[str, np.ndarray]:
     """The counts of each text of a block."""
     starts, ends, first = word_bounds(data, offs)
-    hashes = word_hashes(data, starts, ends, lower=False)
-    n_words = np.diff(first)
+    code, _ = codes(data, starts, ends, lower=False)
+    n, n_words = len(code), np.diff(first)
     text = np.repeat(np.arange(len(offs) - 1), n_words)
-    salt = mix(np.arange(1, len(offs), dtype=_U))
     point = (data & 0xC0) != 0x80
     symbol = np.isin(data, np.frombuffer(b"#*$%&|<>", np.uint8))
-    # lines: runs between line feeds, told apart by a hash of all their bytes
+    # lines: runs between line feeds
     feed = np.flatnonzero(data == 10)
     line_at = np.unique(np.r_[offs[:-1], feed + 1])
     line_at = line_at[line_at < len(data)]
@@ -131,16 +170,15 @@ def measure(data: np.ndarray, offs: np.ndarray, rules: RepetitionRules) -> dict[
     owner = np.searchsorted(offs, line_at, "right") - 1
     wordy = np.searchsorted(starts, line_end) > np.searchsorted(starts, line_at)
     line_at, line_end, owner = line_at[wordy], line_end[wordy], owner[wordy]
-    _, again = _twice(mix(word_hashes(data, line_at, line_end, lower=False) ^ salt[owner]))
+    _, again = _twice(paired(owner, codes(data, line_at, line_end, lower=False)[0]))
     dup_lines = np.bincount(owner[again], minlength=len(offs) - 1)
     # three-word windows
-    n = len(hashes)
+    own = paired(text, code)  # equal words of one text
     stop = np.repeat(first[1:], n_words)
     at = np.flatnonzero(np.arange(n) + 3 <= stop)
-    window = mix(mix(mix(hashes[at] ^ salt[text[at]]) + hashes[at + 1]) + hashes[at + 2]) if n else hashes
-    many, _ = _twice(window)
+    many, _ = _twice(runs(own, 3)[at])
     repeat = _covered(n, at[many], np.full(int(many.sum()), 3))
-    longest = longest_repeats(mix(hashes ^ salt[text]), stop)
+    longest = longest_repeats(own, stop, keep_ranks)
     far = np.flatnonzero(longest >= rules.min_span)
     covered = _covered(n, far, longest[far])
     most = np.zeros(len(offs) - 1, np.int64)

@@ -132,6 +132,30 @@ def test_near_dedup_keeps_one_of_each_group(spark):
         near_dedup.near_groups(docs(spark, rows), percent=50)
 
 
+def test_repeated_ids_and_structured_words(spark):
+    a, b = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    rows = [(1, a, 0), (1, b, 0), (2, a + ["z"], 0), (3, b + ["z"], 0), (4, b + ["y"], 0), (9, ["q"], 0)]
+    got = near_dedup.near_groups(docs(spark, [(k, " ".join(w), "s") for k, w, _ in rows])).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 1), (9, 9)}
+    x, y = "a", "b"
+    while len(x) < 1024:
+        x, y = x + y, y + x
+    assert all(r.kept for r in near_dedup.near_groups(docs(spark, [(1, x, "s"), (2, y, "s")])).collect())
+
+
+@pytest.mark.parametrize("sketches, nodes", [(3, 512), (2, 2)])
+def test_hot_buckets_and_families(spark, monkeypatch, sketches, nodes):
+    monkeypatch.setattr(near_dedup, "BLOCK_SKETCHES", sketches)
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", nodes)
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(80)]
+    half = base[:50] + [f"v{k}" for k in range(30)]
+    texts = family(r, base, 25, 9) + family(r, half, 25, 9)
+    rows = [(k, t, "s") for k, t in enumerate(texts)]
+    got = {(x.doc_id, x.n_shingles, x.component_id) for x in near_dedup.near_groups(docs(spark, rows), 2).collect()}
+    assert got == brute_near(rows, 2)
+
+
 def test_sketches_estimate_differences():
     r = np.random.default_rng(1)
     for shared_part in (0.95, 0.8, 0.3):
@@ -142,7 +166,7 @@ def test_sketches_estimate_differences():
         odd = near_dedup.odd_sketches(m).view(np.uint64)
         far = int(np.bitwise_count(odd[0] ^ odd[1]).sum())
         differ = int((m[0] != m[1]).sum())
-        assert abs(far - 256 * (1 - np.exp(-4 * differ / 512))) < 35
+        assert abs(far - 512 * (1 - np.exp(-4 * differ / 1024))) < 35 and far <= 2 * differ
         assert (far <= near_dedup.SKETCH_LIMIT) == (shared_part >= 0.8)
 
 

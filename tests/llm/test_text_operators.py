@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from memloom.llm import chat, packing, pii, repetition, urls
 from memloom.llm.queries import RULES, vocabulary_path
-from memloom.llm.words import blocks, shingles, word_bounds, word_hashes
+from memloom.llm.words import blocks, codes, run_hashes, sets, strong, word_bounds
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -38,11 +38,31 @@ def brute_shingles(text, width):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="aAbB é\t\n🙂", max_size=30), max_size=12), st.integers(1, 4))
 def test_shingles(texts, width):
-    got = []
+    got, by_hash = [], []
     for _, _, data, offs in blocks(pa.array(texts, pa.string())):
         s, e, first = word_bounds(data, offs)
-        got += [len(x) for x in shingles(word_hashes(data, s, e), first, width)]
-    assert got == [brute_shingles(t, width) for t in texts]
+        code, words = codes(data, s, e)
+        hashes = run_hashes(strong(words)[code], first, width)
+        got += [len(x) for x in sets(code, first, width)]
+        by_hash += [len(set(hashes[x].tolist())) for x in sets(code, first, width)]
+    assert got == by_hash == [brute_shingles(t, width) for t in texts]
+
+
+def structured_pair(n):
+    """Two unlike words of n characters that polynomial hashes modulo a power of two confuse."""
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_structured_words_stay_apart():
+    for n in (1024, 2048, 4096):
+        a, b = structured_pair(n)
+        assert len(set(strong(pa.array([a, b], pa.large_binary())).tolist())) == 2
+        data = np.frombuffer(f"{a}\n{b}".encode(), np.uint8)
+        got = repetition.measure(data, np.array([0, len(data)]), repetition.RepetitionRules())
+        assert got["n_dup_lines"].tolist() == [0] and got["longest_repeat"].tolist() == [0]
 
 
 # --- chat
@@ -200,6 +220,12 @@ def test_repetition(spark):
     twice = repetition.repetition_counts(docs(spark, ["x " * 5000, "a b c"]).union(docs(spark, ["x " * 5000, "a b c"]))).collect()
     assert len(twice) == 4 and [x.repetitive for x in sorted(twice, key=lambda x: x.doc_id)] == [True, True, False, False]
     assert repetition.repetition_counts(docs(spark, [])).count() == 0
+    # with and without kept ranks
+    draw = np.random.default_rng(0)
+    for _ in range(200):
+        k = draw.integers(0, 3, draw.integers(1, 200))
+        stop = np.full(len(k), len(k))
+        assert (repetition.longest_repeats(k, stop) == repetition.longest_repeats(k, stop, keep_ranks=0)).all()
 
 
 def test_only_the_suffix_array_rejects(spark, tmp_path):
