@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -292,6 +293,34 @@ def test_packs_whole_documents(spark):
     assert packing.pack(docs(spark, []), vocabulary_path()).count() == 0
 
 
+def test_fill_does_not_depend_on_partitions(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for parts in (4, 211):
+        got = packing.pack(d.repartition(parts), vocabulary_path())
+        assert packing.fill(got) >= 0.98, parts
+        assert got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).where("n > 2048 or n <> end").isEmpty()
+        assert got.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t")).where("n <> t").isEmpty()
+
+
+_ALPHABETS = ["abcXYZ '’sdtrelvm", "0123456789²½٣३ ", " \t\n\r\x0b\u00a0\u2003\u200b", "éßñçØİıſ", "東京한국어עברית", "🙂👩‍👩‍👧\ufe0f", "<|endoftext|>pad unk", "#$%&*!?…—«»"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(_ALPHABETS).flatmap(lambda a: st.text(alphabet=a, max_size=12)), max_size=8).map("".join))
+def test_fast_ids_are_those_of_the_vocabulary(text):
+    encode, tok = _encoders()
+    assert encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+@lru_cache
+def _encoders():
+    from tokenizers import Tokenizer
+
+    with open(vocabulary_path(), "rb") as f:
+        content = f.read()
+    return packing.encoder(content), Tokenizer.from_str(content.decode())
+
+
 # --- personal data
 
 PATTERNS = {
