@@ -18,12 +18,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import durable
+from ..plans.ordering import sums_before
+from .shared import durable, fresh
 
 #: Rows of a source that share a hash bucket, on average.
 BUCKET_ROWS = 10_000
 #: Ranges of finish times in a round, for each unit of time.
 RANGES = 1024
+#: A range of so many copies is looked into row by row.
+RANGE_ROWS = 100_000
 #: A document is taken so many times at most.
 MOST_COPIES = 3
 
@@ -45,16 +48,16 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int =
     is shared again by weight until none is above.  The end of that is found in
     one go: in the order of cap over weight, sources reach their caps up to
     the first whose cap is not below its share of what the ones before leave.
-    The table has a row for each source."""
-    by_key, total = Window.orderBy("key"), Window.partitionBy()
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.row_number().over(by_key) - 1, F.lit(len(weights))) + 1)
-    t = sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most)
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), "key")
-    before = F.coalesce(F.sum("cap").over(by_cap.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    open_weight = F.sum("weight").over(by_cap.rowsBetween(0, Window.unboundedFollowing))
-    t = t.withColumn("level", (F.sum("source_size").over(total) - before).cast("double") / open_weight).withColumn("at", F.row_number().over(by_cap))
-    first_open = F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct("at", "level"))).over(total)["level"]
-    share = F.coalesce(first_open, F.lit(0.0)) * F.col("weight")
+    The table has a row for each source and is summed up range by range, so
+    sources may be as many as hosts; three numbers reach the driver."""
+    t = sums_before(sizes, {"place": F.lit(1)}, ["key"])
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("place", F.lit(len(weights))).cast("int") + 1)
+    t = t.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most).withColumn("ratio", F.col("cap") / F.col("weight"))
+    total = t.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    t = sums_before(t, {"before": F.col("cap"), "shut": F.col("weight"), "at": F.lit(1)}, ["ratio", "key"])
+    level = (F.lit(total["size"]) - F.col("before")).cast("double") / (F.lit(total["weight"]) - F.col("shut"))
+    first_open = t.withColumn("level", level).where(F.col("cap") >= F.col("level") * F.col("weight")).orderBy("at").select("level").first()
+    share = F.lit(first_open["level"] if first_open else 0.0) * F.col("weight")
     return t.withColumn("target", F.least(F.col("cap").cast("double"), share)).select("key", "source_size", "rows", "weight", "target")
 
 
@@ -63,11 +66,12 @@ def _finish(epoch: Column) -> Column:
     return F.coalesce(F.when(F.col("target") > 0, (epoch * F.col("source_size") + F.col("upto")).cast("double") / F.col("target")), F.lit(0.0))
 
 
-def queue(docs: DataFrame, weights: Sequence[float], seed: int, id_col: str, source_col: str, text_col: str) -> DataFrame:
+def queue(docs: DataFrame, weights: Sequence[float], seed: int, id_col: str, source_col: str, text_col: str, row: Column | None = None) -> DataFrame:
     """A row for each row of ``docs``: id, key, source, size, h (its place in the
-    shuffle), source_size, target and upto (its source's tokens up to and with it)."""
+    shuffle), source_size, target and upto (its source's tokens up to and with
+    it); and ``row``, a name for the row."""
     h = F.md5(F.concat(F.lit(f"mix-{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), h.alias("h"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), h.alias("h"), F.xxhash64(F.col(text_col)).alias("t"), (F.lit(0) if row is None else row).cast("long").alias("row"))
     rows = durable(rows.withColumn("key", _source_key(F.col("source"))), "mix-rows")
     plan = durable(targets(rows.groupBy("key").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), weights), "mix-targets")
     place = F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / float(1 << 32)
@@ -75,9 +79,10 @@ def queue(docs: DataFrame, weights: Sequence[float], seed: int, id_col: str, sou
     sums = split.groupBy("key", "bucket").agg(F.sum("size").alias("s"))
     before = F.coalesce(F.sum("s").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select("key", "bucket", before.alias("before"))
-    inside = F.sum("size").over(Window.partitionBy("key", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    # rows that agree in all of these are alike
+    inside = F.sum("size").over(Window.partitionBy("key", "bucket").orderBy("h", "id", "size", "t").rowsBetween(Window.unboundedPreceding, 0))
     out = split.withColumn("inside", inside).join(sums, ["key", "bucket"])
-    return durable(out.select("id", "key", "source", "size", "h", "source_size", "target", (F.col("before") + F.col("inside")).alias("upto")), "mix-queue")
+    return durable(out.select("id", "key", "source", "size", "h", "source_size", "target", (F.col("before") + F.col("inside")).alias("upto"), "row"), "mix-queue")
 
 
 def _cut(rows: DataFrame, most: int) -> tuple | None:
@@ -86,12 +91,12 @@ def _cut(rows: DataFrame, most: int) -> tuple | None:
     budget = rows.agg(F.sum("size")).first()[0] or 0
     low, width, spent = 0.0, 1.0, 0
     part = copies
-    for _ in range(2):
-        # ranges past the last number are one, so the table of sums stays small
+    while width > 1e-12:
+        # targets share what there is, so the cut is near 1; ranges past the last number are one, so the table of sums stays small
         number = F.least(F.floor((F.col("finish") - low) / width * RANGES), F.lit(64 * RANGES))
         sums = part.groupBy(number.alias("r")).agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
         running = F.sum("s").over(Window.orderBy("r"))
-        hit = sums.select("r", "s", running.alias("run")).where(F.col("run") + spent > budget).orderBy("r").first()
+        hit = sums.select("r", "s", "n", running.alias("run")).where(F.col("run") + spent > budget).orderBy("r").first()
         if hit is None:
             break
         spent += hit["run"] - hit["s"]
@@ -99,6 +104,8 @@ def _cut(rows: DataFrame, most: int) -> tuple | None:
         if hit["r"] == 64 * RANGES:
             break
         low, width = low + hit["r"] * width / RANGES, width / RANGES
+        if hit["n"] <= RANGE_ROWS:
+            break
     order = ["finish", "key", "epoch", "h"]
     running = F.sum("size").over(Window.orderBy(*order, "id", "size").rowsBetween(Window.unboundedPreceding, 0))
     last = part.select(*order, running.alias("run")).where(F.col("run") + spent <= budget).orderBy(*[F.desc(c) for c in order]).first()
@@ -108,6 +115,18 @@ def _cut(rows: DataFrame, most: int) -> tuple | None:
     return tuple(below) if below is not None else None
 
 
+def _taken(rows: DataFrame) -> Column:
+    """How often each row of a queue is taken."""
+    cut = _cut(rows, MOST_COPIES)
+    copies: Column = F.lit(0)
+    if cut is not None:
+        last = F.struct(F.lit(cut[0]).alias("f"), F.lit(cut[1]).alias("k"), F.lit(cut[2]).alias("e"), F.lit(cut[3]).alias("h"))
+        for e in range(MOST_COPIES):
+            mine = F.struct(_finish(F.lit(e)).alias("f"), F.col("key").alias("k"), F.lit(e).alias("e"), F.col("h"))
+            copies = copies + (mine <= last).cast("int")
+    return copies
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), seed: int = 1, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: ``id_col``, ``source_col``, ``size`` in words,
     ``source_size``, ``target``, ``copies`` (0 to 3) and ``finish`` of the first copy.
@@ -118,25 +137,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), seed: int = 1, id
     it and count each for itself.  Other columns are not read; an empty table
     gives no rows.  The result depends on the rows and ``seed`` alone."""
     rows = queue(docs, weights, seed, id_col, source_col, text_col)
-    cut = _cut(rows, MOST_COPIES)
-    copies: Column = F.lit(0)
-    if cut is not None:
-        last = F.struct(F.lit(cut[0]).alias("f"), F.lit(cut[1]).alias("k"), F.lit(cut[2]).alias("e"), F.lit(cut[3]).alias("h"))
-        for e in range(MOST_COPIES):
-            mine = F.struct(_finish(F.lit(e)).alias("f"), F.col("key").alias("k"), F.lit(e).alias("e"), F.col("h"))
-            copies = copies + (mine <= last).cast("int")
-    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), _finish(F.lit(0)).alias("finish"))
+    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", _taken(rows).alias("copies"), _finish(F.lit(0)).alias("finish"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), seed: int = 1, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the mix takes, as often as it does, with all their columns.
-    Edge cases as in :func:`mix`."""
-    number = lambda *by: F.row_number().over(Window.partitionBy("__id").orderBy("__source", "__size", *by))
-    taken = mix(docs, weights, seed, id_col, source_col, text_col)
-    taken = taken.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("size").alias("__size"), "copies", "finish")
-    taken = taken.withColumn("__n", number("finish")).where("copies > 0").select(F.col("__id").alias("__id2"), F.col("__n").alias("__n2"), F.col("copies").alias("__copies"))
-    rows = docs.withColumns({"__id": F.col(id_col), "__source": F.col(source_col), "__size": word_count(F.col(text_col))}).withColumn("__n", number(text_col))
-    out = rows.join(taken, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__n") == F.col("__n2")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*[docs[c] for c in docs.columns])
-
-
+    Edge cases as in :func:`mix`.  Rows get a number when they are written, by
+    which they are found again, so no id has to be there or be unlike others."""
+    row, other, copies = (fresh(n, docs.columns) for n in ("__row", "__other", "__copies"))
+    base = durable(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
+    rows = queue(base, weights, seed, id_col, source_col, text_col, F.col(row))
+    taken = rows.select(F.col("row").alias(other), _taken(rows).alias(copies)).where(F.col(copies) > 0)
+    out = base.join(taken, F.col(row) == F.col(other))
+    return out.withColumn(other, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[base[c] for c in docs.columns])

@@ -68,6 +68,28 @@ def test_exact_groups(spark):
     assert {len(r) for r in kept} == {14} and exact_dedup.dedup(docs(spark, [])).count() == 0
 
 
+def test_state_goes_on_from_call_to_call(spark, tmp_path):
+    calls = [[(5, "a b", "s"), (6, "c", "s"), (7, "only here", "s")], [(3, "a  b", "s"), (8, "c", "s"), (9, "new", "s"), (9, "new", "s")], [(1, "new", "s"), (10, "a b", "s")]]
+    for digest in (exact_dedup.digest_of, lambda t: F.lit("x"), lambda t: F.substring(t, 1, 0)):
+        home, seen = f"{tmp_path}/{digest.__name__}{id(digest)}", []
+        for rows in calls:
+            seen += rows
+            got = exact_dedup.exact_groups(docs(spark, rows), digest=digest, state_dir=home).collect()
+            groups = brute_exact(seen)[1]
+            want = [(k, min(groups[re.sub(r"\s+", " ", t)]), len(groups[re.sub(r"\s+", " ", t)])) for k, t, _ in rows]
+            assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == sorted(want)
+    assert {r.doc_id for r in exact_dedup.dedup(docs(spark, [(11, "c", "s"), (12, "fresh", "s")]), state_dir=f"{tmp_path}/second").collect()} == {11, 12}
+    assert {r.doc_id for r in exact_dedup.dedup(docs(spark, [(13, "c", "s"), (14, "newer", "s")]), state_dir=f"{tmp_path}/second").collect()} == {14}
+
+
+def test_stages_take_clashing_columns(spark):
+    names = ["__gone", "__gone_id", "__gone_digest", "__digest", "__id", "__n", "__copies", "__id2", "__row", "__other", "__source", "__size", "__COPIES_"]
+    df = spark.createDataFrame([(1, "a b c d e f", "s"), (2, "a b c d e f", "s"), (None, None, None)], "doc_id long, text string, source string").withColumns({n: F.lit(n) for n in names})
+    for stage in (exact_dedup.dedup, near_dedup.dedup, mixing.mixed):
+        out = stage(df)
+        assert out.columns == df.columns and all([r[n] for n in names] == names for r in out.collect())
+
+
 def test_digests_that_clash_are_told_apart_by_bytes(spark):
     rows = [(k, t, "s") for k, t in enumerate(["a", "b", "a", "b", "c", "ab", "ba"])]
     got = exact_dedup.exact_groups(docs(spark, rows), digest=lambda t: F.lit("x")).collect()
