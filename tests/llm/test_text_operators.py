@@ -111,8 +111,6 @@ def test_texts_that_look_like_turns(spark):
 def brute_urls(pages, rules=RULES, strength=2.0):
     """The same models by dictionaries."""
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    known = "abcdefghijklmnopqrstuvwxyz0-./"
-
     def split(u):
         m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u or "")
         return (m[1].translate(low), m[2]) if m else ("", "")
@@ -121,36 +119,36 @@ def brute_urls(pages, rules=RULES, strength=2.0):
         fits = [r for r in rules if (h == r.host or h.endswith("." + r.host)) and p.startswith(r.path)]
         return max(fits, key=lambda r: len(r.text), default=None)
 
-    def grams(s):
-        codes = [known.find("0" if c in "0123456789" else c) + 1 or 31 for c in s.lower()]
-        codes = [0] * (urls.ORDER - 1) + codes + [0]
-        return [tuple(codes[i : i + urls.ORDER]) for i in range(len(codes) - urls.ORDER + 1)]
+    def grams(u):
+        marks = "\x02" * urls.ORDER + u + "\x03"
+        return [marks[i : i + urls.ORDER + 1] for i in range(len(u) + 1)]
 
     judged = [(k, *split(u), u) for k, u in pages]
-    named = [(h + p, rule(h, p), u) for _, h, p, u in judged]
+    named = [(u or "", rule(h, p), u or "") for _, h, p, u in judged]
     counts = {True: Counter(), False: Counter()}
     for s, r, u in named:
         if r and zlib.crc32(u.encode()) % 4:
             counts[r.allow].update(grams(s))
     total = {c: sum(n.values()) for c, n in counts.items()}
     scale = {c: min(total.values()) / total[c] if total[c] else 0.0 for c in counts}
-    by_order = {c: defaultdict(float) for c in counts}
+    by_gram = {c: defaultdict(float) for c in counts}
     context = {c: defaultdict(float) for c in counts}
     for c, n in counts.items():
         for g, k in n.items():
-            for o in range(1, urls.ORDER + 1):
-                by_order[c][g[-o:]] += k * scale[c]
-                context[c][(o, g[-o:-1])] += k * scale[c]
+            for o in range(urls.ORDER + 1):
+                by_gram[c][g[-o - 1 :]] += k * scale[c]
+                context[c][g[-o - 1 : -1]] += k * scale[c]
+    known = len({g[-1] for s, _, _ in named for g in grams(s)}) + 1
 
     def p(c, g):
-        out = 1 / urls.CLASSES
-        for o in range(1, urls.ORDER + 1):
-            out = (by_order[c][g[-o:]] + strength * out) / (context[c][(o, g[-o:-1])] + strength)
+        out = 1 / known
+        for o in range(urls.ORDER + 1):
+            out = (by_gram[c][g[-o - 1 :]] + strength * out) / (context[c][g[-o - 1 : -1]] + strength)
         return out
 
     def score(s):
         gs = grams(s)
-        return sum(float(f"{math.log(p(True, g)) - math.log(p(False, g)):.4f}") for g in gs) / len(gs)
+        return sum(math.log(p(True, g)) - math.log(p(False, g)) for g in gs) / len(gs)
 
     bins = defaultdict(lambda: [0, 0])
     for s, r, u in named:
