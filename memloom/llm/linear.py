@@ -2,8 +2,10 @@
 features of whole texts, and a scoring pass without a shuffle.
 
 Features are 64-bit hashes and a model is a sorted array of those it knows, so
-two features do not share a weight.  The model's size is bounded by the
-sample's, a documented parameter, and so is what reaches the driver."""
+two features do not share a weight.  The sample is bounded in rows and in
+bytes of text, both documented parameters, and so are the model, what reaches
+the driver and what is broadcast: a text of b bytes has some 4 b features at
+most, of eight bytes each."""
 
 from __future__ import annotations
 
@@ -12,7 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import bounded_batches
@@ -30,9 +33,14 @@ def distinct(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return text[new], key[new]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, rows_per_class: int, id_col: str, text_col: str) -> DataFrame:
+#: Bytes of text of each class that a sample holds at most.
+SAMPLE_BYTES = 16 << 20
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, rows_per_class: int, id_col: str, text_col: str, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """(id, text, y) of at most ``rows_per_class`` documents of each class, those
-    whose id hashes lowest: the same sample on every run, spread over the table.
+    whose id hashes lowest, up to ``sample_bytes`` of whole texts: the same
+    sample on every run, spread over the table.
 
     ``may_learn`` is a predicate on the id.  Of repeated labels of an id the
     largest counts; null labels and ids do not.  Only the sample's ids, two
@@ -40,7 +48,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: C
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & may_learn).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("y"))
     by = [F.xxhash64("id"), F.col("id")]
     some = known.where("y = 0").orderBy(*by).limit(rows_per_class).unionByName(known.where("y = 1").orderBy(*by).limit(rows_per_class))
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(some), "id")
+    # an id's repeated rows count each
+    order = Window.partitionBy("y").orderBy(*by, F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"__rows": F.count(F.lit(1)).over(order), "__bytes": F.sum(F.octet_length("text")).over(order)})
+    return rows.where((F.col("__rows") <= rows_per_class) & (F.col("__bytes") <= sample_bytes)).select("id", "text", "y")
+
+
+@dataclass
+class Changes:
+    """Changes that swapped sentences make to features: entry k adds ``sign[k]`` to feature ``key[k]`` in change ``row[k]``,
+    and change i is there ``times[i]`` times."""
+
+    row: np.ndarray
+    key: np.ndarray
+    sign: np.ndarray
+    times: np.ndarray
 
 
 @dataclass
@@ -50,28 +73,67 @@ class Sample:
     y: np.ndarray
     at: np.ndarray
     key: np.ndarray
-
-
-def collect_features(sample: DataFrame, features: Features) -> Sample:
-    """Features are made on the executors; the bounded sample's hashes reach the driver, by id."""
+    changes: Changes | None = None
+
+
+#: From a column of texts, the changes that swapped sentences in it make: number of the text, of the change, feature and sign.
+Swaps = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def merged(row: np.ndarray, key: np.ndarray, sign: np.ndarray) -> Changes:
+    """Equal changes as one that counts for all."""
+    order = np.lexsort((key, row))
+    row, key, sign = row[order], key[order], sign[order]
+    at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+    seen: dict[bytes, int] = {}
+    times, first = [], []
+    for a, b in zip(at.tolist(), np.r_[at[1:], len(row)].astype(np.int64).tolist()):
+        name = key[a:b].tobytes() + sign[a:b].tobytes()
+        if name not in seen:
+            seen[name] = len(times)
+            times.append(0)
+            first.append((a, b))
+        times[seen[name]] += 1
+    pick = np.concatenate([np.arange(a, b) for a, b in first]) if first else np.zeros(0, np.int64)
+    rows = np.repeat(np.arange(len(first)), [b - a for a, b in first]) if first else np.zeros(0, np.int64)
+    return Changes(rows, key[pick], sign[pick].astype(float), np.array(times, float))
+
+
+def collect_features(sample: DataFrame, features: Features, swaps: Swaps | None = None) -> Sample:
+    """Features, and with ``swaps`` the changes of swapped sentences, are made on the executors; the bounded sample's hashes reach the driver, by id."""
     bounded_batches(sample.sparkSession)
     kind = sample.schema["id"].dataType.simpleString()
 
+    def lists(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys = [np.zeros(1, np.int64)], []
+            n = batch.num_rows
+            sizes, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b, data, offs in blocks(batch.column(1)):
                 text, key = features(data, offs)
                 sizes.append(np.bincount(text, minlength=b - a))
                 keys.append(key.view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], names=["id", "y", "found"])
-
-    table = sample.select("id", "text", "y").mapInArrow(run, f"id {kind}, y int, found array<long>").toArrow().sort_by("id")
-    lists = table.column("found").combine_chunks()
-    at = np.cumsum(np.r_[0, np.array([len(x) for x in lists], np.int64)])
-    key = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    return Sample(table.column("y").to_numpy().astype(np.int64), at, key)
+            text, change, key, sign = swaps(batch.column(1)) if swaps else [np.zeros(0, np.int64)] * 4
+            size = np.bincount(text.astype(np.int64), minlength=n)
+            cols = [lists(np.concatenate(sizes), np.concatenate(keys)), lists(size, change.astype(np.int64)), lists(size, key.view(np.int64)), lists(size, sign.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], names=["id", "y", "found", "change", "key", "sign"])
+
+    shape = ", ".join(f"{c} array<long>" for c in ("found", "change", "key", "sign"))
+    table = sample.select("id", "text", "y").mapInArrow(run, f"id {kind}, y int, {shape}").toArrow().sort_by("id")
+
+    def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
+        column = table.column(name).combine_chunks()
+        return pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+    size, key = flat("found")
+    out = Sample(table.column("y").to_numpy().astype(np.int64), np.r_[0, np.cumsum(size)], key.view(np.uint64))
+    if swaps:
+        (size, change), (_, keys), (_, sign) = flat("change"), flat("key"), flat("sign")
+        # a change's number is its own within its text
+        out.changes = merged(np.repeat(np.arange(len(size)), size) * (int(change.max(initial=0)) + 1) + change, keys.view(np.uint64), sign)
+    return out
 
 
 def indexed(sample: Sample, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

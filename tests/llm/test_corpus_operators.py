@@ -6,13 +6,14 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from memloom.llm import exact_dedup, mixing, near_dedup, quality, queries, shared, toxicity
 from memloom.llm.components import components
-from memloom.llm.linear import Sample
+from memloom.llm.linear import Sample, indexed, lookup, merged
 
 from oracle import assert_same, connect
 
@@ -289,31 +290,84 @@ def test_dual_coordinate_descent_parts_the_classes():
     assert (np.sign(x @ w) == sign).mean() > 0.97
 
 
-def test_swapped_terms_score_alike():
+def sample_of(rows):
+    row, key = toxicity.of_texts([t for _, t in rows])
+    at = np.r_[0, np.cumsum(np.bincount(row, minlength=len(rows)))]
+    text, change, keys, sign = toxicity.swaps(pa.array([t for _, t in rows]))
+    return Sample(np.array([y for y, _ in rows]), at, key, merged(text * 10**6 + change, keys, sign))
+
+
+def biased_rows(n=400):
+    """One group is named far more often in toxic texts."""
     r = random.Random(1)
     rows = []
-    for k in range(400):
+    for k in range(n):
         toxic = k % 2
-        # one group is named far more often in toxic texts
-        group = "muslim" if r.random() < (0.8 if toxic else 0.2) else "christian"
-        rows.append((toxic, f"{'awful stuff' if toxic and r.random() < 0.8 else 'nice day'} said the {group} today"))
-
-    def sample():
-        keys, at = [], [0]
-        for _, t in rows:
-            data = np.frombuffer(t.encode(), np.uint8)
-            k = toxicity.features(data, np.array([0, len(data)]))[1]
-            keys.append(k)
-            at.append(at[-1] + len(k))
-        return Sample(np.array([y for y, _ in rows]), np.array(at), np.concatenate(keys))
-
-    def gap(model):
-        at = {int(k): float(w) for k, w in zip(model.names, model.weight)}
-        total = lambda w: sum(at.get(k, 0.0) for k in toxicity.word_keys(w))
-        return abs(total("muslim") - total("christian"))
-
-    free, tied = toxicity.fit(sample(), counterfactual=0.0), toxicity.fit(sample(), counterfactual=20.0)
-    assert gap(tied) < 0.3 * gap(free)
+        group = "muslim" if r.random() < (0.85 if toxic else 0.15) else "christian"
+        rows.append((toxic, f"{'awful stuff' if toxic and r.random() < 0.6 else 'nice day'} said the {group} today. Nothing else happened"))
+    return rows
+
+
+def test_swapped_sentences():
+    got = toxicity.swapped("Some Women spoke. WOMEN and men, humane! none here")
+    assert got == [("some women spoke", "some men spoke"), ("some women spoke", "some girls spoke"), (" women and men, humane", " women and girls, humane"), (" women and men, humane", " women and boys, humane"), (" women and men, humane", " men and men, humane"), (" women and men, humane", " girls and men, humane")]
+
+    def brute(a, b):
+        def found(s):
+            return {k for w in re.findall(r"[0-9a-z\x80-\U0010ffff]+", s) for k in toxicity.word_keys(w)}
+
+        return {(k, 1) for k in found(b) - found(a)} | {(k, -1) for k in found(a) - found(b)}
+
+    pair, key, sign = toxicity.changes_of(got)
+    for k, (a, b) in enumerate(got):
+        assert {(int(x), int(s)) for p, x, s in zip(pair, key, sign) if p == k} == brute(a, b)
+
+
+def test_counterfactual_gradient():
+    sample = sample_of(biased_rows(40))
+    names, at, column = indexed(sample, 1)
+    row = np.repeat(np.arange(len(sample.y)), np.diff(at))
+    p = toxicity.problem(sample, names, row, column, np.arange(len(sample.y)) % 5 != 0, 3.0)
+    r = np.random.default_rng(0)
+    w, b = r.standard_normal(len(names)), 0.3
+    g, gb = p.gradient(w, b)
+    for j in range(len(names)):
+        e = np.zeros(len(names))
+        e[j] = 1e-6
+        assert (p.loss(w + e, b) - p.loss(w - e, b)) / 2e-6 == pytest.approx(g[j], abs=1e-5)
+    assert (p.loss(w, b + 1e-6) - p.loss(w, b - 1e-6)) / 2e-6 == pytest.approx(gb, abs=1e-5)
+    # the loss by its definition: the real scores of the real sentences
+    at = {int(k): x for k, x in zip(names, w)}
+    score = lambda s: sum(at.get(k, 0.0) for k in toxicity.of_texts([s])[1].tolist())
+    pairs = toxicity.neutral() + [x for _, t in biased_rows(40) for x in toxicity.swapped(t)]
+    penalty = 3.0 / len(sample.y) * sum((score(x) - score(z)) ** 2 for x, z in pairs)
+    plain = toxicity.problem(sample, names, row, column, np.arange(len(sample.y)) % 5 != 0, 0.0)
+    assert p.loss(w, b) - plain.loss(w, b) == pytest.approx(penalty, rel=1e-9)
+
+
+def test_every_weight_is_settled():
+    sample = sample_of(biased_rows())
+    names, at, column = indexed(sample, 4)
+    row = np.repeat(np.arange(len(sample.y)), np.diff(at))
+    model = toxicity.fit(sample, rounds=800)
+    w = np.zeros(len(names))
+    w[np.searchsorted(names, model.names)] = model.weight
+    p = toxicity.problem(sample, names, row, column, np.ones(len(sample.y), bool), 1.0)
+    g, _ = p.gradient(w, model.bias)
+    assert (np.abs(g[w == 0]) <= 1.02 * 4e-4).all() and np.abs(g[w != 0] + 4e-4 * np.sign(w[w != 0])).max(initial=0) < 2e-4
+
+
+def test_fewer_neutral_mentions_are_called_toxic():
+    sample, neutral = sample_of(biased_rows()), [f"nice day said the muslim {x}" for x in ("today", "and left", "at home", "who came today")]
+
+    def called(counterfactual):
+        model = toxicity.fit(sample, counterfactual=counterfactual)
+        row, key = toxicity.of_texts(neutral + ["awful stuff said the christian today"])
+        score = model(*lookup(model.names, row, key), len(neutral) + 1)
+        return (score[:-1] >= 0.5).sum(), score[-1]
+
+    (free, _), (tied, toxic) = called(0.0), called(20.0)
+    assert free >= 3 and tied == 0 and toxic >= 0.5
 
 
 # --- the pipeline
