@@ -379,6 +379,36 @@ def test_finds_in_whole_texts(spark):
     assert pii.find_pii(docs(spark, [])).count() == 0
 
 
+def test_no_labelled_span_lies_outside_the_regions():
+    r = random.Random(77)
+    for _ in range(5000):
+        kind, before, span, after = pii._positive(r)
+        text = "words " * 20 + before + span + after + " words" * 20
+        a = len("words " * 20 + before)
+        assert any(x <= max(0, a - 8) and a + len(span) + 8 <= y for x, y in pii.regions(text)), (kind, span)
+
+
+def test_added_spans_of_documents():
+    """All tokens in quotes are found, and what is added besides holds what its kind needs."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    found = pii.text_spans(texts, pii.trained())
+    known = [(k, *m.span(1)) for k, t in enumerate(texts) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)]
+    added = {(k, a, b): kind for k, (_, more) in enumerate(found) for kind, a, b in more}
+    assert len(known) >= 5 and all(added.get(x) == "secret" for x in known)
+    others = [texts[k][a:b] for (k, a, b), kind in added.items() if (k, a, b) not in known]
+    assert all(sum(c.isdigit() for c in s) >= 9 for s in others) and len(others) <= len(known)
+
+
+def test_overlaps_with_the_base_in_long_texts():
+    line = "a@b.cd and (555) 201-3344; "
+    (base, added), = pii.text_spans([line * 2000], pii.trained())
+    assert sum(k == "email" for k, _, _ in base) == 2000 and len(added) > 100
+    taken = sorted((a, b) for _, a, b in base + added)
+    assert all(x[1] <= y[0] for x, y in zip(taken, taken[1:]))
+
+
 def test_forms_that_the_patterns_miss():
     texts = ["please write to jo.doe at example dot com or call (555) 201-3344 today", "ann_b [at] mail7 [dot] example [dot] org is mine", "see the dot at the end of it", "no 10.0.0.300, version 4.0."]
     got = [[(k, t[a:b]) for k, a, b in added] for t, (_, added) in zip(texts, pii.text_spans(texts, pii.trained()))]
