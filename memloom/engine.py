@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from .functions.namespaces import normalise
 from .operators import gates, governance, graph, lifecycle, search, semantic, vector
-from .plans import fold
-from .policies import Assembly, Firewall, Links, Retention, Retrieval, Scoring, Sessions
+from .plans import fold, writing
+from .plans.iterate import checkpointed
+from .policies import Assembly, Conflict, Dedup, Firewall, Links, Retention, Retrieval, Scoring, Sessions
 from .schema import MEMORY_TYPES
 from .sources import log, tables
 
@@ -23,9 +24,10 @@ from .sources import log, tables
 class Engine:
     """``path``: the log's folder.  ``embed``: text column to vector column."""
 
-    def __init__(self, spark: SparkSession, path: str, mode: str = "full", embed=vector.hash_embed, retrieval: Retrieval = Retrieval(), firewall: Firewall = Firewall(), retention: Retention = Retention()):
+    def __init__(self, spark: SparkSession, path: str, mode: str = "full", embed=vector.hash_embed, retrieval: Retrieval = Retrieval(), firewall: Firewall = Firewall(), retention: Retention = Retention(), dedup: Dedup = Dedup(), conflict: Conflict = Conflict(), evolve: Links | None = None):
         self.spark, self.path, self.mode, self.embed = spark, path, mode, embed
         self.retrieval, self.firewall, self.retention = retrieval, firewall, retention
+        self.dedup, self.conflict, self.evolve = dedup, conflict, evolve
 
     # --- projections
 
@@ -78,14 +80,88 @@ class Engine:
             raise ValueError(f"memory_type must be one of {MEMORY_TYPES}")
         have = set(rows.columns)
         col = lambda c, kind="string": F.col(c) if c in have else F.lit(None).cast(kind)
-        base = rows.withColumns({"role": F.coalesce(col("role"), F.lit("user")), "channel": F.coalesce(col("channel"), F.lit("internal")), "__at": F.lit(now).cast("timestamp")})
-        bridged = governance.prefix_bridges(self._with_recent(base), self.firewall).where("bridge").select("record_id", F.lit(True).alias("anomalous"))
-        base = governance.stamped(base.join(bridged, "record_id", "left"), self.firewall)
-        values = dict(record_id=F.col("record_id"), namespace=F.col("namespace"), memory_type=F.lit(memory_type), content=F.col("content"), entity=semantic_entity(col("entity")), attribute=col("attribute"), valid_from=F.coalesce(col("valid_from", "timestamp"), F.col("__at")), recorded_at=F.col("__at"), source=tables.source(F.col("role"), F.col("channel"), col("doc_path"), col("message_id")), trust=F.col("trust"), quarantined=F.col("quarantined"), instruction_flag=F.col("instruction_flag"), status=F.col("status"), tags=col("tags", "array<string>"), group_id=col("group_id"))
-        return self._write(base.select(*tables.record(**values)), now)
-
-    def _with_recent(self, rows: DataFrame) -> DataFrame:
-        old = self.records().select("record_id", "namespace", "content", "recorded_at", "quarantined")
+        values = dict(record_id=F.col("record_id"), namespace=F.col("namespace"), memory_type=F.lit(memory_type), content=F.col("content"), entity=semantic_entity(col("entity")), attribute=col("attribute"), valid_from=F.coalesce(col("valid_from", "timestamp"), F.lit(now).cast("timestamp")), recorded_at=F.lit(now).cast("timestamp"), source=tables.source(F.coalesce(col("role"), F.lit("user")), F.coalesce(col("channel"), F.lit("internal")), col("doc_path"), col("message_id")), consent_tags=col("consent_tags", "array<string>"), pii_tier=F.coalesce(col("pii_tier"), F.lit("none")), tags=col("tags", "array<string>"), group_id=col("group_id"))
+        return self._store(rows.select(*tables.record(**values)), now)
+
+    def _store(self, rows: DataFrame, now: datetime) -> int:
+        """Whole records through the firewall, semantic ones through merging and the ladder, and into the log;
+        then what they corroborate is lifted and, where the engine evolves, they are linked."""
+        at = F.lit(now).cast("timestamp")
+        rows = checkpointed(rows)
+        homes = rows.select("namespace").distinct()
+        # folded once, and only what lies beside the batch
+        old = checkpointed(self.records().join(homes, "namespace", "left_semi").select(*self._record_columns()))
+        base = rows.withColumns({"role": F.col("source.role"), "channel": F.col("source.channel"), "__at": at})
+        odd = governance.prefix_bridges(self._with_recent(base, old), self.firewall).where("bridge").select("record_id")
+        if not old.groupBy("namespace").count().where(F.col("count") >= self.firewall.min_neighbours).isEmpty():
+            near = vector.topk(rows.select(F.col("record_id").alias("query_id"), "namespace", self.embed(F.col("content")).alias("vector")), self.vectors(), self.firewall.min_neighbours)
+            near = near.join(old.select("record_id", "quarantined"), "record_id")
+            odd = odd.unionByName(governance.outliers(near, self.firewall).where("outlier").select(F.col("query_id").alias("record_id"))).distinct()
+        odd = odd.withColumn("anomalous", F.lit(True))
+        base = checkpointed(governance.stamped(base.drop("trust", "instruction_flag", "quarantined", "status").join(odd, "record_id", "left"), self.firewall).select(*self._record_columns()))
+        kinds = [r[0] for r in base.select("memory_type").distinct().collect()]  # one of the nine types
+        if "semantic" in kinds:
+            after = self._write_semantic(base.where("memory_type = 'semantic'"), old, now)
+            if len(kinds) > 1:
+                after = self._write(base.where("memory_type <> 'semantic'"), now)
+        else:
+            after = self._write(base, now)
+        clean = base.where(~F.col("quarantined"))
+        if not old.unionByName(base).where("quarantined and status <> 'deleted'").isEmpty():
+            after = max(after, self.corroborate(clean, now))
+        if self.evolve is not None:
+            after = max(after, self.link_new(clean, now, self.evolve))
+        return after
+
+    def _write_semantic(self, rows: DataFrame, old: DataFrame, now: datetime) -> int:
+        at = F.lit(now).cast("timestamp")
+        done = writing.semantic_writes(rows, old, at, self.embed, self.dedup, self.conflict)
+        record = F.struct(*[F.col(c) for c in self._record_columns()])
+        text = lambda c: c.cast("string")
+        closing = F.create_map(F.lit("status"), F.lit("archived"), F.lit("valid_to"), text(F.col("valid_to")), F.lit("superseded_at"), text(at), F.lit("evolve_to"), F.col("evolve_to"))
+        merges = done["merges"].withColumn("namespace", F.col("record.namespace"))
+        parts = [
+            self._events(done["kept"], "memory.write", now, record=record),
+            self._events(merges, "memory.merge", now, kept_record_id=F.col("kept_record_id"), dropped_record_id=F.col("record.record_id"), record=F.col("record")),
+            self._events(done["closed"], "memory.decay_transition", now, record_id=F.col("record_id"), transition=F.lit("superseded"), set=closing),
+            self._events(done["stored"], "memory.write", now, record=record),
+            self._events(done["conflicts"], "memory.conflict", now, **{c: F.col(c) for c in ("entity", "attribute", "verdict", "action", "incoming_record_id", "existing_record_id")}),
+        ]
+        events = parts[0].withColumn("batch_pos", F.lit(0))
+        for k, part in enumerate(parts[1:], 1):
+            events = events.unionByName(part.withColumn("batch_pos", F.lit(k)))
+        return self.append(events)
+
+    def corroborate(self, incoming: DataFrame, now: datetime) -> int:
+        """Counts the votes of records that came in for quarantined ones, and lifts those with enough: a
+        fact that another holds by now ends in it, a skill goes by its stage, all else becomes active."""
+        records = self.records()
+        slim = lambda d: d.select("record_id", "namespace", "memory_type", "entity", "attribute", "content_fingerprint", F.col("source.role").alias("role"), F.col("source.channel").alias("channel"), "trust", "corroborations")
+        held = records.where(F.col("quarantined") & (F.col("status") != "deleted"))
+        votes = checkpointed(governance.corroborated(slim(held), slim(incoming), self.firewall).join(held.select("record_id", "namespace", "memory_type", "entity", "attribute", "skill_stage", "valid_from"), "record_id"))
+        if votes.isEmpty():
+            return 0
+        active = semantic.active_facts(records).select("namespace", "entity", "attribute", F.col("record_id").alias("holder"), F.col("valid_from").alias("holder_from"))
+        v = votes.join(active, ["namespace", "entity", "attribute"], "left")
+        beaten = (F.col("memory_type") == "semantic") & F.col("holder").isNotNull()
+        status = F.when(beaten, "archived").when(F.col("memory_type") == "procedural", lifecycle.skill_status(F.col("skill_stage"))).otherwise("activated")
+        count = F.create_map(F.lit("corroborations"), F.col("votes").cast("string"))
+        lift = F.create_map(F.lit("quarantined"), F.lit("false"), F.lit("status"), status)
+        end = F.when(beaten, F.create_map(F.lit("evolve_to"), F.col("holder"), F.lit("valid_to"), F.greatest("valid_from", "holder_from").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+        change = F.when(F.col("lifted"), F.map_concat(count, lift, end)).otherwise(count)
+        return self.append(self._events(v, "memory.decay_transition", now, record_id=F.col("record_id"), transition=F.when(F.col("lifted"), "lift").otherwise("corroborate"), set=change))
+
+    def link_new(self, rows: DataFrame, now: datetime, policy: Links = Links()) -> int:
+        """Links records that were just written to their nearest neighbours."""
+        q = rows.select(F.col("record_id").alias("query_id"), "namespace", self.embed(F.col("content")).alias("vector"))
+        live = self.records().where(gates.retrievable()).select("record_id")
+        hits = vector.topk(q, self.vectors().join(live, "record_id", "left_semi"), policy.auto_links + policy.budget + 1)
+        links = graph.auto_links(hits, self.edges(), policy).join(rows.select(F.col("record_id").alias("src"), "namespace"), "src")
+        return self.append(self._events(links, "memory.link", now, src=F.col("src"), dst=F.col("dst"), rel=F.col("rel"), weight=F.col("weight"), reason=F.lit("auto")))
+
+    @staticmethod
+    def _with_recent(rows: DataFrame, old: DataFrame) -> DataFrame:
+        old = old.select("record_id", "namespace", "content", "recorded_at", "quarantined")
         new = rows.select("record_id", "namespace", "content", F.col("__at").alias("recorded_at"), F.lit(False).alias("quarantined"))
         return old.unionByName(new)
 
@@ -93,13 +169,13 @@ class Engine:
         """One record a turn (conv_id, turn, role, text)."""
         if not conversations.where("role is null").limit(1).isEmpty():
             raise ValueError("a turn without a role")
-        return self._write(tables.transcript(conversations), now)
+        return self._store(tables.transcript(conversations), now)
 
     def write_episode(self, conversations: DataFrame, now: datetime) -> int:
         """One record a conversation, grouped by its content's fingerprint."""
         e = tables.episodes(conversations)
         at = F.lit(now).cast("timestamp")
-        return self._write(e.select(*tables.record(record_id=F.concat(F.lit("ep-"), F.substring("group_id", 1, 16)), namespace=F.concat(F.lit("conv/"), "conv_id"), memory_type=F.lit("episodic"), content=F.col("content"), group_id=F.col("group_id"), valid_from=at, recorded_at=at, source=tables.source(F.lit("user"), F.lit("messages"), message_id=F.col("group_id")))), now)
+        return self._store(e.select(*tables.record(record_id=F.concat(F.lit("ep-"), F.substring("group_id", 1, 16)), namespace=F.concat(F.lit("conv/"), "conv_id"), memory_type=F.lit("episodic"), content=F.col("content"), group_id=F.col("group_id"), valid_from=at, recorded_at=at, source=tables.source(F.lit("user"), F.lit("messages"), message_id=F.col("group_id")))), now)
 
     def set_persona(self, namespace: str, text: str, now: datetime) -> int:
         """Replaces the namespace's persona; the old text goes into its history."""
@@ -226,10 +302,23 @@ class Engine:
         self.append(self._events(judged.where("refused is null"), "memory.link", now, src=F.col("src"), dst=F.col("dst"), rel=F.col("rel"), weight=F.col("weight"), reason=F.lit("associate")))
         return judged
 
-    def related(self, seeds: DataFrame, k: int = 8) -> DataFrame:
-        """``seeds``: query_id, node; gated neighbours by personalised rank."""
-        live = self.records().where(gates.retrievable()).select(F.col("record_id").alias("node"))
-        return graph.personalised_rank(self.edges(), seeds).join(live, "node", "left_semi").where(F.col("rank") <= k)
+    def related(self, seeds: DataFrame, k: int = 8, strategy: str = "ppr") -> DataFrame:
+        """``seeds``: query_id, node; live neighbours of the seed's namespace, by personalised rank (``ppr``), distance
+        (``bfs``) or the fusion of rank and likeness (``rrf``).  Gated first, then cut to ``k``."""
+        records = self.records()
+        live = records.where(gates.retrievable()).select(F.col("record_id").alias("node"), "namespace")
+        homes = seeds.join(records.select(F.col("record_id").alias("node"), "namespace"), "node").select("query_id", "namespace").distinct()
+        hits = None
+        if strategy == "rrf":
+            texts = seeds.join(records.select(F.col("record_id").alias("node"), "namespace", "content"), "node")
+            q = texts.select("query_id", "namespace", self.embed(F.col("content")).alias("vector"))
+            hits = vector.topk(q, self.vectors(), 4 * k)
+        found = graph.related(self.edges(), seeds, strategy, None, hits)
+        from pyspark.sql import Window
+
+        gated = found.join(live, "node").join(homes, ["query_id", "namespace"], "left_semi")
+        gated = gated.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+        return gated.where(F.col("rank") <= k).select("query_id", "node", "rank")
 
     def prune_weakest(self, now: datetime) -> int:
         w = graph.weakest(self.edges()).select("src", "dst", "rel").distinct().withColumn("namespace", F.lit("graph"))
@@ -317,25 +406,99 @@ class Engine:
         at = F.lit(now).cast("timestamp")
         return self._write(new.select(*tables.record(record_id=F.concat_ws(":", F.lit("prompt"), "entity", "version"), namespace=F.lit("prompts"), memory_type=F.lit("procedural"), content=F.col("content"), entity=F.col("entity"), attribute=F.lit("prompt"), version=F.col("version"), valid_from=at, recorded_at=at, skill_stage=F.lit("active"), source=tables.source(F.lit("operator")))), now)
 
+    def forget_all(self, namespace: str, now: datetime) -> int:
+        """Forgets every record of a namespace for good."""
+        ns = normalise(namespace)
+        if not self.spark.range(1).select(F.lit(ns).alias("namespace")).where(gates.held(self.retention.holds)).isEmpty():
+            raise PermissionError(f"{ns!r} is on legal hold")
+        own = self.records().where(F.col("namespace") == ns)
+        return self.append(self._events(own, "memory.forget", now, record_id=F.col("record_id"), hard=F.lit(True)))
+
+    def prune(self, offsets: DataFrame, now: datetime, out: str) -> str:
+        """Writes what a rolling log still needs to ``out``, and reads from there on; ``offsets``: projector, offset."""
+        left = log.pruned(self.events(), offsets, F.lit(now).cast("timestamp"), self.retention.retention_days, self.mode)
+        left.withColumn("day", F.to_date("ts")).write.partitionBy("namespace", "day").parquet(out)
+        self.path = out
+        return out
+
     # --- the sleep cycle
 
-    def sleep(self, now: datetime, sessions: Sessions = Sessions()) -> dict[str, int]:
-        """Summaries of closed sessions, then tiers; each step's events are appended before the next reads.
-        Running it again appends nothing."""
+    def sleep(self, now: datetime, sessions: Sessions = Sessions(), extract=None) -> dict[str, int]:
+        """The whole cycle, each step's events appended before the next reads: summaries of closed sessions,
+        facts from extracted edges (with ``extract``, records to edges), community parents, watches, tiers,
+        packing.  Pruning rewrites the log and is :meth:`prune`.  Running it again appends nothing."""
+        done = {"summaries": self._summaries(now, sessions)}
+        if extract is not None:
+            done["facts"] = self.extract_graph(extract(self.records()), now)
+        done["parents"] = self.reorganize(now)
+        done["watches"] = self.due(now).count()
+        before = log.last_seq(self.spark, self.path)
+        moved = lifecycle.decay_sweep(self.records(), F.lit(now).cast("timestamp"))
+        after = self._set(moved, now, "tier", tier=F.col("new_tier"))
+        done["tiers"] = after - before
+        packable = lifecycle.compressible(self.records(), self.retention).withColumn("__packed", F.base64(lifecycle.packed(F.col("content"))))
+        done["packed"] = self._set(packable, now, "compress", content_zstd=F.col("__packed"), content=F.lit("")) - after
+        return done
+
+    def _summaries(self, now: datetime, sessions: Sessions) -> int:
+        """Summaries of closed sessions; one that overlaps an older summary of its namespace, as when an
+        episode came late and its session has another key, replaces it."""
         at = F.lit(now).cast("timestamp")
-        done = {}
         seen = self.events().where("kind = 'memory.consolidate'").select(F.col("payload.session_key").alias("session_key"))
-        fresh = lifecycle.consolidate(self.records(), at, sessions, seen)
+        records = self.records()
+        fresh = checkpointed(lifecycle.consolidate(records, at, sessions, seen))
+        stored = records.where((F.col("source.channel") == "consolidation") & gates.retrievable())
+        stale = checkpointed(lifecycle.superseded_summaries(fresh, stored).groupBy(F.col("old_id").alias("record_id")).agg(F.min("summary_record_id").alias("next")).join(stored.select("record_id", "namespace"), "record_id"))
         rows = fresh.select(*tables.record(record_id=F.col("summary_record_id"), namespace=F.col("namespace"), memory_type=F.lit("episodic"), content=F.col("content"), valid_from=F.col("valid_from"), valid_to=F.col("valid_to"), recorded_at=at, trust=F.col("trust"), instruction_flag=governance.instruction_shaped(F.col("content")), source=tables.source(F.lit("system"), F.lit("consolidation"))), "member_record_ids", "session_key")
         record = F.struct(*[F.col(c) for c in self._record_columns()])
         both = self._events(rows, "memory.write", now, record=record, derivation=F.lit("consolidation"), member_record_ids=F.col("member_record_ids"), session_key=F.col("session_key"))
         audit = self._events(rows, "memory.consolidate", now, session_key=F.col("session_key"), member_record_ids=F.col("member_record_ids"), summary_record_id=F.col("record_id"))
-        before = log.last_seq(self.spark, self.path)
-        after = self.append(both.withColumn("batch_pos", F.lit(0)).unionByName(audit.withColumn("batch_pos", F.lit(1))))
-        done["summaries"] = (after - before) // 2
-        moved = lifecycle.decay_sweep(self.records(), at)
-        done["tiers"] = self._set(moved, now, "tier", tier=F.col("new_tier")) - after
-        return done
+        gone = self._events(stale, "memory.decay_transition", now, record_id=F.col("record_id"), transition=F.lit("superseded"), set=F.create_map(F.lit("status"), F.lit("archived"), F.lit("evolve_to"), F.col("next"), F.lit("superseded_at"), at.cast("string")))
+        self.append(both.withColumn("batch_pos", F.lit(0)).unionByName(audit.withColumn("batch_pos", F.lit(1))).unionByName(gone.withColumn("batch_pos", F.lit(2))))
+        return fresh.count()
+
+    def reorganize(self, now: datetime) -> int:
+        """A summary parent for each community whose members changed, linked to them; parents of
+        communities that are no more are archived and their links ended.  Returns how many parents are new."""
+        at = F.lit(now).cast("timestamp")
+        e = self.events()
+        p = F.col("payload")
+        made = e.where((F.col("kind") == "memory.write") & (p["derivation"] == "community")).select(p["record"]["record_id"].alias("record_id"), p["record"]["namespace"].alias("namespace"), p["session_key"].alias("community_key")).distinct()
+        edges = checkpointed(self.edges())
+        if edges.where(gates.live_link()).isEmpty() and made.isEmpty():
+            return 0
+        records = checkpointed(self.records())
+        live = records.where(gates.retrievable()).select("record_id")
+        parents = checkpointed(made.join(live, "record_id", "left_semi"))
+        members = graph.communities(edges.where(gates.live_link()))
+        found = checkpointed(graph.reorganize(members, records))
+        fresh = found.join(parents.select("community_key"), "community_key", "left_anti").withColumn("record_id", F.concat(F.lit("c-"), F.substring("community_key", 1, 16)))
+        stale = parents.join(found.select("community_key"), "community_key", "left_anti").select("record_id", "namespace")
+        rows = fresh.select(*tables.record(record_id=F.col("record_id"), namespace=F.col("namespace"), memory_type=F.lit("associative"), content=F.col("content"), valid_from=at, recorded_at=at, trust=F.col("trust"), instruction_flag=governance.instruction_shaped(F.col("content")), source=tables.source(F.lit("system"), F.lit("reorganize"))), "member_record_ids", "community_key")
+        record = F.struct(*[F.col(c) for c in self._record_columns()])
+        write = self._events(rows, "memory.write", now, record=record, derivation=F.lit("community"), member_record_ids=F.col("member_record_ids"), session_key=F.col("community_key"))
+        link = lambda d, w: self._events(d, "memory.link", now, src=F.col("src"), dst=F.col("dst"), rel=F.lit("community"), weight=F.lit(w), reason=F.lit("reorganize"))
+        new = link(fresh.select(F.col("record_id").alias("src"), F.explode("member_record_ids").alias("dst"), "namespace"), 1.0)
+        old = edges.where("rel = 'community' and weight > 0").join(stale.withColumnRenamed("record_id", "src"), "src").select("src", "dst", "namespace")
+        gone = self._events(stale, "memory.decay_transition", now, record_id=F.col("record_id"), transition=F.lit("superseded"), set=F.create_map(F.lit("status"), F.lit("archived"), F.lit("superseded_at"), at.cast("string")))
+        events = write.withColumn("batch_pos", F.lit(0))
+        for k, part in enumerate((new, link(old, 0.0), gone), 1):
+            events = events.unionByName(part.withColumn("batch_pos", F.lit(k)))
+        self.append(events)
+        return fresh.count()
+
+    def extract_graph(self, extracted: DataFrame, now: datetime, floor: float = 0.0) -> int:
+        """Facts from extracted edges (see :func:`operators.semantic.graph_facts`) by the semantic write path; known ones
+        are passed over.  Records that came by it are not read again by an extractor that leaves out channel ``write_pipeline``."""
+        at = F.lit(now).cast("timestamp")
+        facts = semantic.graph_facts(extracted, floor)
+        rid = F.concat(F.lit("g-"), F.substring(F.sha2(F.concat_ws("|", "namespace", "entity", "attribute", "content"), 256), 1, 24))
+        rows = facts.select(*tables.record(record_id=rid, namespace=F.col("namespace"), memory_type=F.lit("semantic"), content=F.col("content"), entity=semantic_entity(F.col("entity")), attribute=F.col("attribute"), valid_from=at, recorded_at=at, trust=F.col("trust"), source=tables.source(F.lit("user"), F.lit("write_pipeline"))))
+        rows = checkpointed(rows.join(self.events().where("kind = 'memory.write'").select(F.col("payload.record.record_id").alias("record_id")), "record_id", "left_anti"))
+        if rows.isEmpty():
+            return 0
+        self._write_semantic(rows, checkpointed(self.records()), now)
+        return rows.count()
 
 
 def semantic_entity(name: Column) -> Column:

@@ -64,6 +64,11 @@ def advance(offsets: DataFrame, moves: DataFrame) -> DataFrame:
     return offsets.unionByName(moves).groupBy("projector").agg(F.max("offset").alias("offset"))
 
 
+def reset(offsets: DataFrame, projectors: Sequence[str], to: int = 0) -> DataFrame:
+    """Projector offsets with those of ``projectors`` set back."""
+    return offsets.withColumn("offset", F.when(F.col("projector").isin(*projectors), F.lit(to).cast("long")).otherwise(F.col("offset")))
+
+
 def pruned(events: DataFrame, offsets: DataFrame, now: Column, retention_days: float, mode: str = "rolling") -> DataFrame:
     """What is left of a rolling log: an event goes once every projector has passed it and it is older than the retention."""
     if mode != "rolling":
