@@ -4,7 +4,8 @@ Each round hangs a node's neighbours on the smallest of them; rounds are few
 (a logarithm of the longest chain), all data stays in tables, and every step
 is written in the shared folder, so lineage does not grow.  A node's smallest
 neighbour is a partial sum; it is written before it is joined back, so that
-adaptive execution can split a join in which one node has very many edges."""
+adaptive execution can split a join in which one node has very many edges.
+Rounds end once the edges are stars, whose centres are the components."""
 
 from __future__ import annotations
 
@@ -32,9 +33,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return out
 
 
-def _mark(edges: DataFrame) -> tuple:
-    # decimals: sums of hashes must neither overflow nor depend on order
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether ``edges`` are stars apart from each other: nothing hangs on two nodes, or hangs and is hung on."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    return ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs > 1 or (hangs = 1 and holds = 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -44,14 +47,9 @@ def components(edges: DataFrame) -> DataFrame:
     no edges give no rows."""
     loops = edges.where("a is not null and b is not null").select("a", "b")
     now = durable(loops.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    mark = _mark(now)
-    while True:
+    while not _settled(now):
         large = _large_star(now)
         small = _small_star(large)
         discard(now, large)
         now = small
-        found = _mark(now)
-        if found == mark:
-            break
-        mark = found
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
