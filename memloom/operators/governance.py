@@ -154,11 +154,20 @@ def tainted(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return grow(start, step, ["seed", "record_id"]).where("hops > 0")
 
 
-def erasure_report(record_id: str, events: DataFrame, records: DataFrame, vectors: DataFrame, lexical: DataFrame) -> DataFrame:
-    """One row: whether the record is gone from each projection and its content from the log, and ``clean``."""
-    from ..sources.log import carries_content
+def erasure_reports(ids: DataFrame, events: DataFrame, records: DataFrame, vectors: DataFrame, lexical: DataFrame) -> DataFrame:
+    """For each of ``ids`` (record_id): whether it is gone from each projection and its content from
+    the log, and ``clean``.  One join a projection for all ids."""
+    from ..sources.log import content_carriers
+
+    out = ids.select("record_id").distinct()
+    parts = {"row_absent": records, "log_clean": content_carriers(events), "vector_absent": vectors, "lexical_absent": lexical}
+    for name, df in parts.items():
+        there = df.select("record_id").distinct().withColumn("__there", F.lit(True))
+        out = out.join(there, "record_id", "left").withColumn(name, F.col("__there").isNull()).drop("__there")
+    return out.withColumn("clean", F.col("row_absent") & F.col("log_clean") & F.col("vector_absent") & F.col("lexical_absent"))
 
-    gone = lambda df: df.where(F.col("record_id") == record_id).limit(1).isEmpty()
-    parts = {"row_absent": gone(records), "log_clean": carries_content(events, record_id).isEmpty(), "vector_absent": gone(vectors), "lexical_absent": gone(lexical)}
-    spark = events.sparkSession
-    return spark.createDataFrame([(record_id, *parts.values(), all(parts.values()))], "record_id string, " + ", ".join(f"{k} boolean" for k in parts) + ", clean boolean")
+
+def erasure_report(record_id: str, events: DataFrame, records: DataFrame, vectors: DataFrame, lexical: DataFrame) -> DataFrame:
+    """:func:`erasure_reports` for one record."""
+    one = events.sparkSession.createDataFrame([(record_id,)], "record_id string")
+    return erasure_reports(one, events, records, vectors, lexical)

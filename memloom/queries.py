@@ -201,7 +201,16 @@ def vector_topk(spark, sf_dir):
     return vector.topk(q, tables.vectors(e), 8)
 
 
-@query("vector_rescore")
+@query(
+    "vector_rescore",
+    "WITH " + _VECTOR + """,
+c AS (SELECT record_id, vec_id, u, size, [round_even(x / list_max([abs(y) for y in u]) * 127, 0) for x in u] AS z FROM vn),
+cn AS (SELECT *, sqrt(list_dot_product(z, z)) AS z_size FROM c),
+s AS (SELECT q.vec_id AS query_id, r.record_id, round(list_dot_product(q.u, r.u) / (q.size * r.size), 6) AS score, round(list_dot_product(q.z, r.z) / (q.z_size * r.z_size), 6) AS coarse, count(*) OVER (PARTITION BY q.vec_id) AS n FROM cn q, cn r WHERE q.vec_id % 20 = 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coarse DESC, record_id) AS place FROM s)
+SELECT query_id, record_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) AS rank FROM t WHERE n < 256 OR place <= 32) WHERE rank <= 8
+""",
+)
 def vector_rescore(spark, sf_dir):
     e = _t(spark, sf_dir, "embeddings")
     q = e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.lit(None).cast("string").alias("namespace"), F.col("embedding").alias("vector"))
@@ -635,3 +644,6 @@ def prompt_sync(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
     declared = p.select(F.col("p_brand").alias("entity"), F.col("p_size").alias("version"))
     return lifecycle.fresh_prompts(declared.distinct(), declared.where("p_partkey % 2 = 0"))
+
+
+from . import queries_verbs  # noqa: E402,F401  adds its own

@@ -108,9 +108,24 @@ def _touching(events: DataFrame, ids: DataFrame) -> DataFrame:
     return events.select("seq", F.explode(carriers).alias("__id")).join(ids, F.col("__id") == F.col("__gone"), "left_semi").select("seq").distinct()
 
 
+def _carried(p: Column) -> tuple[Column, Column]:
+    """Whether a payload's snapshot, and whether its change, has content left."""
+    versions = F.coalesce(p["record"]["history"], F.array().cast(EVENT["payload"].dataType["record"].dataType["history"].dataType))
+    snapshot = (F.coalesce(p["record"]["content"], F.lit("")) != "") | p["record"]["content_zstd"].isNotNull() | F.exists(versions, lambda v: F.coalesce(v["content"], F.lit("")) != "")
+    delta = F.map_contains_key(p["set"], "content") | F.map_contains_key(p["set"], "content_zstd")
+    return F.coalesce(snapshot, F.lit(False)), F.coalesce(delta, F.lit(False))
+
+
+def content_carriers(events: DataFrame) -> DataFrame:
+    """(record_id, seq): the events in which content of a record is left: the mirror of :func:`redacted`."""
+    p = F.col("payload")
+    snapshot, delta = _carried(p)
+    whose = F.array_distinct(F.array_compact(F.array(F.when(snapshot, p["record"]["record_id"]), F.when(delta, p["record_id"]))))
+    return events.select(F.explode(whose).alias("record_id"), "seq")
+
+
 def carries_content(events: DataFrame, record_id: str) -> DataFrame:
-    """Events in which content of the record is left: the mirror of :func:`redacted`."""
+    """Events in which content of one record is left."""
     p = F.col("payload")
-    snapshot = (p["record"]["record_id"] == record_id) & ((F.coalesce(p["record"]["content"], F.lit("")) != "") | p["record"]["content_zstd"].isNotNull() | F.exists(F.coalesce(p["record"]["history"], F.array().cast(EVENT["payload"].dataType["record"].dataType["history"].dataType)), lambda v: F.coalesce(v["content"], F.lit("")) != ""))
-    delta = (p["record_id"] == record_id) & (F.map_contains_key(p["set"], "content") | F.map_contains_key(p["set"], "content_zstd"))
-    return events.where(F.coalesce(snapshot, F.lit(False)) | F.coalesce(delta, F.lit(False)))
+    snapshot, delta = _carried(p)
+    return events.where(((p["record"]["record_id"] == record_id) & snapshot) | ((p["record_id"] == record_id) & delta))
