@@ -119,8 +119,6 @@ def judged(pages: DataFrame, rules: Sequence[Rule], strength: float = 2.0, url_c
     known = known.withColumn("rule", rule_of(host_of(F.col("url")), path_of(F.col("url")), rules))
     allowed = F.col("rule").isin([r.text for r in rules if r.allow])
     known = known.select("url", "times", F.when(F.col("rule").isNotNull(), allowed).alias("yes"), (F.crc32("url") % 4 == 0).alias("held"))
-    # dealt by count, not bytes: the windows made of each URL are many times its size
-    known = known.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "url")
     # numbered when written: a number goes with each window, not the URL
     known = durable(known.withColumn("number", F.monotonically_increasing_id()), "urls")
     spot = known.select("number", "times", F.when(~F.col("held"), F.col("yes")).alias("learn"), F.explode(windows(F.col("url"))).alias("w"))
