@@ -121,7 +121,9 @@ def judged(pages: DataFrame, rules: Sequence[Rule], strength: float = 2.0, url_c
     known = known.select("url", "times", F.when(F.col("rule").isNotNull(), allowed).alias("yes"), (F.crc32("url") % 4 == 0).alias("held"))
     # numbered when written: a number goes with each window, not the URL
     known = durable(known.withColumn("number", F.monotonically_increasing_id()), "urls")
-    spot = known.select("number", "times", F.when(~F.col("held"), F.col("yes")).alias("learn"), F.explode(windows(F.col("url"))).alias("w"))
+    # dealt by count, not bytes: the windows made of each URL are many times its size
+    dealt = known.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "number")
+    spot = dealt.select("number", "times", F.when(~F.col("held"), F.col("yes")).alias("learn"), F.explode(windows(F.col("url"))).alias("w"))
     count = lambda of: F.sum(F.when(of, F.col("times")).otherwise(0))
     counts = durable(spot.groupBy("w").agg(count(F.col("learn")).alias("yes"), count(~F.col("learn")).alias("no")), "url-windows")
     ratios = durable(log_ratios(counts, strength), "url-ratios")
