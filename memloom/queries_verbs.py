@@ -351,7 +351,8 @@ SELECT query_id, node, rank::INT AS rank FROM r WHERE rank <= 8
 def related_nearest(spark, sf_dir):
     """Each supplier's eight nearest nodes by hops."""
     e = _edges(spark, sf_dir)
-    return graph.related(e, e.select(F.substring("src", 2, 20).cast("long").alias("query_id"), F.col("src").alias("node")).distinct(), "bfs")
+    seeds = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("query_id"), _id("s", "l_suppkey").alias("node")).distinct()
+    return graph.related(e, seeds, "bfs")
 
 
 @query(
