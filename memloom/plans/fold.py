@@ -105,18 +105,21 @@ def fold_graph(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     A write makes a node and a ``derived_from`` edge to each member that it
     was derived from; a link sets its edge, a later one replaces it; a forget
     removes the node and every edge at it that is older."""
-    e = once(events)
     p = F.col("payload")
-    gone = e.where(F.col("kind") == "memory.forget").groupBy(p["record_id"].alias("node_id")).agg(F.max("seq").alias("gone"))
-    made = e.where((F.col("kind") == "memory.write") & p["record"].isNotNull())
-    derived = made.where(p["derivation"].isNotNull()).select(p["record"]["record_id"].alias("src"), F.explode(p["member_record_ids"]).alias("dst"), F.lit("derived_from").alias("rel"), F.lit(1.0).alias("weight"), p["session_key"].alias("reason"), "seq")
-    linked = e.where((F.col("kind") == "memory.link") & p["src"].isNotNull() & p["dst"].isNotNull()).select(p["src"].alias("src"), p["dst"].alias("dst"), F.coalesce(p["rel"], F.lit("related")).alias("rel"), F.coalesce(p["weight"], F.lit(1.0)).alias("weight"), p["reason"].alias("reason"), "seq")
+    # all sums below are maxima, which an event that is delivered again does not change; each kind on its
+    # own with no more columns than it needs, so a log without a kind costs nothing for it
+    of = lambda kind, *cols: events.where(F.col("kind") == kind).select("seq", *cols)
+    gone = of("memory.forget", p["record_id"].alias("node_id")).groupBy("node_id").agg(F.max("seq").alias("gone"))
+    record = p["record"]
+    made = of("memory.write", record.isNotNull().alias("whole"), record["record_id"].alias("node_id"), record["memory_type"].alias("label"), record["namespace"].alias("namespace"), p["derivation"].alias("derivation"), p["member_record_ids"].alias("members"), p["session_key"].alias("reason")).where("whole")
+    derived = made.where("derivation is not null").select(F.col("node_id").alias("src"), F.explode("members").alias("dst"), F.lit("derived_from").alias("rel"), F.lit(1.0).alias("weight"), "reason", "seq")
+    linked = of("memory.link", p["src"].alias("src"), p["dst"].alias("dst"), F.coalesce(p["rel"], F.lit("related")).alias("rel"), F.coalesce(p["weight"], F.lit(1.0)).alias("weight"), p["reason"].alias("reason")).where("src is not null and dst is not null")
     edges = derived.unionByName(linked).groupBy("src", "dst", "rel").agg(F.max("seq").alias("seq"), F.max_by(F.struct("weight", "reason"), "seq").alias("last"))
     for end in ("src", "dst"):
         cut = gone.select(F.col("node_id").alias(end), "gone")
         edges = edges.join(cut, end, "left").where("gone is null or seq > gone").drop("gone")
     edges = edges.select("src", "dst", "rel", F.col("last.weight").alias("weight"), F.col("last.reason").alias("reason"), "seq")
-    own = made.groupBy(p["record"]["record_id"].alias("node_id")).agg(F.max("seq").alias("seq"), F.max_by(F.struct(p["record"]["memory_type"].alias("label"), p["record"]["namespace"].alias("namespace")), "seq").alias("n"))
+    own = made.groupBy("node_id").agg(F.max("seq").alias("seq"), F.max_by(F.struct("label", "namespace"), "seq").alias("n"))
     own = own.join(gone, "node_id", "left").where("gone is null or seq > gone").select("node_id", F.col("n.label").alias("label"), F.col("n.namespace").alias("namespace"))
     ends = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()
     bare = ends.join(own, "node_id", "left_anti").select("node_id", F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("namespace"))

@@ -78,11 +78,10 @@ SELECT src, dst, round(weight, 6)::DOUBLE AS weight, seq::BIGINT AS seq FROM b
 """,
 )
 def graph_fold(spark, sf_dir):
-    li = _t(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.col("l_orderkey").cast("long").alias("order"), (F.col("l_orderkey") * 1_000_000_000 + F.col("l_suppkey") * 100_000 + F.col("l_partkey")).alias("seq"), (F.col("l_quantity") / 50).alias("w"))
-    # an order may name a pair twice: the larger quantity counts
-    li = li.groupBy("src", "dst", "order", "seq").agg(F.max("w").alias("w"))
-    events = li.select("seq", F.lit("memory.link").alias("kind"), F.lit("graph").alias("namespace"), F.lit("loader").alias("actor"), _now().alias("ts"), tables.payload(src=F.col("src"), dst=F.col("dst"), rel=F.lit("supplies"), weight=F.when(F.col("order") % 7 == 0, 0.0).otherwise(F.col("w"))).alias("payload"))
-    return fold.fold_graph(events)[1].select("src", "dst", F.round("weight", 6).alias("weight"), F.floor(F.col("seq") / 1_000_000_000).alias("seq"))
+    # numbers by order and, where an order names a pair twice, by quantity: the larger counts; one for each line however large its keys are
+    li = _t(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_quantity", "l_suppkey", "l_partkey").alias("seq"), F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.when(F.col("l_orderkey") % 7 == 0, 0.0).otherwise(F.col("l_quantity") / 50).alias("weight"))
+    events = li.select("seq", F.lit("memory.link").alias("kind"), F.lit("graph").alias("namespace"), F.lit("loader").alias("actor"), _now().alias("ts"), tables.payload(src=F.col("src"), dst=F.col("dst"), rel=F.lit("supplies"), weight=F.col("weight")).alias("payload"))
+    return fold.fold_graph(events)[1].select("src", "dst", F.round("weight", 6).alias("weight"), F.col("seq.l_orderkey").cast("long").alias("seq"))
 
 
 @query(
