@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,15 +92,41 @@ def corroborated(held: DataFrame, incoming: DataFrame, policy: Firewall = Firewa
     agree.  Both: record_id, namespace, memory_type, entity, attribute, content_fingerprint, role,
     channel, trust; ``held`` has corroborations.
 
-    Two equi-joins, on the fingerprint and on the key, and their union: an OR
-    of both would compare all with all."""
+    Votes are counted by key, no pair of records is made: those of the same text, and those of the
+    same key, less those that share both, of each less those of the record's own role and channel
+    and its own write.  Only ids that stand for several unlike rows are held against each other
+    by pairs, so that each votes once."""
     signature = F.concat_ws("|", "role", "channel")
-    h = held.withColumn("sig", signature)
-    ok = incoming.where((F.col("trust") >= policy.corroborate_trust) & F.col("role").isin("operator", "system", "user")).select(F.col("record_id").alias("in_id"), F.col("namespace"), F.col("memory_type").alias("in_type"), F.col("entity").alias("in_entity"), F.col("attribute").alias("in_attribute"), F.col("content_fingerprint").alias("in_fp"), signature.alias("in_sig"))
-    other = (F.col("in_id") != F.col("record_id")) & (F.col("in_sig") != F.col("sig"))
-    by_text = h.join(ok, (h["namespace"] == ok["namespace"]) & (h["content_fingerprint"] == ok["in_fp"])).where(other)
-    by_key = h.join(ok, (h["namespace"] == ok["namespace"]) & (h["memory_type"] == ok["in_type"]) & (h["entity"] == ok["in_entity"]) & (h["attribute"] == ok["in_attribute"])).where(other)
-    votes = by_text.select("record_id", "in_id").unionByName(by_key.select("record_id", "in_id")).distinct().groupBy("record_id").agg(F.count(F.lit(1)).alias("votes"))
+    text, key = ["namespace", "content_fingerprint"], ["namespace", "memory_type", "entity", "attribute"]
+    what = [*text, *key[1:], "sig"]
+    h = held.withColumn("sig", signature).where("record_id is not null").select("record_id", *what)
+    ok = incoming.where((F.col("trust") >= policy.corroborate_trust) & F.col("role").isin("operator", "system", "user") & F.col("record_id").isNotNull()).withColumn("sig", signature).select("record_id", *what)
+
+    def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Ids with one row, however often it stands there, and the rows of the others."""
+        ends = rows.groupBy("record_id").agg(F.min(F.struct(*what)).alias("lo"), F.max(F.struct(*what)).alias("hi"))
+        many = ends.where("lo <> hi").select("record_id")
+        return ends.where("lo = hi").select("record_id", "lo.*"), rows.distinct().join(many, "record_id", "left_semi")
+
+    def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+        """(record_id, in_id) of rows that agree, by two equi-joins: an OR of both would compare all with all."""
+        b = b.select(F.col("record_id").alias("in_id"), F.col("sig").alias("in_sig"), *[F.col(c).alias(f"in_{c}") for c in what[:-1]])
+        same = lambda on: [a[c] == b[f"in_{c}"] for c in on] + [F.col("in_id") != F.col("record_id"), F.col("in_sig") != F.col("sig")]
+        return a.join(b, same(text)).select("record_id", "in_id").unionByName(a.join(b, same(key)).select("record_id", "in_id")).distinct()
+
+    (one, several), (in_one, in_several) = parted(h), parted(ok)
+    counts = []
+    for on, sign in ((text, 1), (key, 1), (what[:-1], -1)):
+        n = in_one.groupBy(*on, "sig").agg(F.count(F.lit(1)).alias("own"))
+        out = one.join(n.groupBy(*on).agg(F.sum("own").alias("all")), on).join(n, [*on, "sig"], "left")
+        counts.append(out.select("record_id", (sign * (F.col("all") - F.coalesce("own", F.lit(0)))).alias("votes")))
+    # a record's own write does not vote for it
+    b = in_one.select("record_id", *[F.col(c).alias(f"in_{c}") for c in what])
+    agree = lambda on: reduce(Column.__and__, [F.coalesce(F.col(c) == F.col(f"in_{c}"), F.lit(False)) for c in on])
+    counts.append(one.join(b, "record_id").where((F.col("sig") != F.col("in_sig")) & (agree(text) | agree(key))).select("record_id", F.lit(-1).cast("long").alias("votes")))
+    for some in (pairs(one, in_several), pairs(several, in_one.unionByName(in_several))):
+        counts.append(some.groupBy("record_id").agg(F.count(F.lit(1)).alias("votes")))
+    votes = reduce(DataFrame.unionByName, counts).groupBy("record_id").agg(F.sum("votes").alias("votes")).where("votes > 0")
     out = held.join(votes, "record_id").withColumn("votes", F.col("votes") + F.coalesce("corroborations", F.lit(0)))
     return out.select("record_id", "votes", (F.col("votes") >= policy.corroborations).alias("lifted"))
 
