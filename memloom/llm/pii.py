@@ -6,14 +6,12 @@ there: addresses, network numbers, cards, phones and secrets, in the forms
 that the patterns know and in others (spelt-out addresses, grouped digits,
 keys and tokens), among words, versions, dates and prices that are none.
 
-Whole texts are searched for what every form of every kind holds: a digit, an
-at sign, a bracketed "at", the word "dot", or a long run of signs that is no
-word.  Text within ``NEAR`` characters of one is tagged; elsewhere no span can
-lie, which tests check on labelled sentences.  Such regions are cut into
-overlapping windows, each is decoded, every character takes the tag of the
-window in which it is most central, and spans are put together over the whole
-region.  A window whose best tags are all "outside" for certain, by a bound on
-what any span in it could gain, is not decoded further."""
+Every character of every text is tagged.  The network runs over windows of
+``LONG`` characters that overlap by twice ``MARGIN``; within them windows of the
+length it was trained on are decoded, every character takes the tag of the window
+in which it is most central, and spans are put together over the whole text.  A
+window whose best tags are all "outside" for certain, by a bound on what any span
+in it could gain, is not decoded further."""
 
 from __future__ import annotations
 
@@ -32,7 +30,8 @@ from .shared import bounded_batches
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 TAGS = 1 + 2 * len(KINDS)  # outside; then begin and inside of each kind
-WINDOW, STEP, NEAR = 128, 64, 48
+WINDOW, STEP = 128, 64
+LONG, MARGIN = 512, 32
 HIDDEN = 20
 
 Span = tuple[str, int, int]
@@ -44,7 +43,6 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[(\[{] ?at ?[)\]}]|\bdot\b|(?:[A-Za-z]*[!#$%+/=_.-]){2}[A-Za-z]+|(?-i:[A-Z]{16})", re.I)
 _KEYWORD = re.compile(r"(?i)(pass(word|wd|phrase)?|pwd|token|secret|key|bearer)[\"']?\s{0,2}[:=]?\s{0,2}[\"']?$")
 
 
@@ -97,7 +95,7 @@ def base_spans(text: str) -> list[Span]:
 def codes(text: str) -> np.ndarray:
     """1 to 128 for ASCII, 129 for all else; 0 is padding."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.minimum(points, 128).astype(np.int64) + 1
+    return np.minimum(points, 128).astype(np.uint8) + 1
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -146,26 +144,33 @@ class Tagger:
         return both @ self.w["o"] + self.w["oc"]
 
     def _states(self, x: np.ndarray, side: str) -> np.ndarray:
-        """As :meth:`_direction` with nothing kept: all gates bend in one go, as a sigmoid is a tanh of half its argument."""
+        """As :meth:`_direction` with nothing kept: all gates bend in one go."""
         h = HIDDEN
         n, t = x.shape
-        half = np.repeat(np.array([0.5, 1.0], np.float32), [3 * h, h])
-        table, u = (self.w[f"x{side}"] + self.w[f"c{side}"]) * half, self.w[f"u{side}"] * half
+        # a tanh is a sigmoid of twice its argument, twice and less one; numpy's exp is several times faster than its tanh
+        scale = -np.repeat(np.array([1.0, 2.0], np.float32), [3 * h, h])
+        table, u = (self.w[f"x{side}"] + self.w[f"c{side}"]) * scale, self.w[f"u{side}"] * scale
         out = np.empty((t, n, h), np.float32)
         now, cell, bent = (np.zeros((n, h), np.float32) for _ in range(3))
-        z = np.empty((n, 4 * h), np.float32)
+        z, moved = np.empty((n, 4 * h), np.float32), np.empty((n, 4 * h), np.float32)
         steps = np.ascontiguousarray(x.T).astype(np.intp)
         for k in range(t):
             np.take(table, steps[k], axis=0, out=z, mode="clip")
-            z += now @ u
-            np.tanh(z, out=z)
-            gate = z[:, : 3 * h]
-            gate *= 0.5
-            gate += 0.5
+            np.matmul(now, u, out=moved)
+            z += moved
+            np.minimum(z, 80, out=z)
+            np.exp(z, out=z)
+            z += 1
+            np.reciprocal(z, out=z)
             cell *= z[:, h : 2 * h]
-            np.multiply(z[:, :h], z[:, 3 * h :], out=bent)
+            np.multiply(z[:, :h], 2 * z[:, 3 * h :] - 1, out=bent)
             cell += bent
-            np.tanh(cell, out=bent)
+            np.multiply(cell, -2, out=bent)
+            np.minimum(bent, 80, out=bent)
+            np.exp(bent, out=bent)
+            bent += 1
+            np.divide(2, bent, out=bent)
+            bent -= 1
             now = out[k]
             np.multiply(z[:, 2 * h : 3 * h], bent, out=now)
         return out
@@ -178,17 +183,56 @@ class Tagger:
     def may_hold(self, e: np.ndarray) -> np.ndarray:
         """Windows in which some span might beat no span at all: the best run of characters
         by what each would gain at most, with the most that its ends can gain."""
+        return self._may_hold(e[:, :, 1:].max(axis=2) - e[:, :, 0])
+
+    def _may_hold(self, each: np.ndarray) -> np.ndarray:
+        """:meth:`may_hold` by each character's best score above "outside", (characters, windows)."""
         trans = self.w["trans"]
         gain = trans - trans[0, 0]
         inside = float(gain[1:, 1:].max())
         ends = max(0.0, float(gain[0, 1:].max())) + max(0.0, float(gain[1:, 0].max())) - inside
-        each = e[:, :, 1:].max(axis=2) - e[:, :, 0] + inside
-        run, best = np.zeros(e.shape[1], np.float32), np.full(e.shape[1], -np.inf, np.float32)
+        each = each + inside
+        run, best = np.zeros(each.shape[1], np.float32), np.full(each.shape[1], -np.inf, np.float32)
         for k in range(len(each)):
             run = np.maximum(run, 0) + each[k]
             best = np.maximum(best, run)
         return best + ends > -1e-3
 
+    def long_scores(self, pieces: list[np.ndarray]) -> np.ndarray:
+        """(tags, characters, windows) of pieces of text of unlike length.  Padding follows the last
+        character in either direction, so a piece's scores do not depend on what is scored with it."""
+        h, n = HIDDEN, len(pieces)
+        size = np.array([len(p) for p in pieces])
+        t = WINDOW + STEP * max(0, -(-(int(size.max()) - WINDOW) // STEP))
+        x, back = np.zeros((n, t), np.uint8), np.zeros((n, t), np.uint8)
+        for row, p in enumerate(pieces):
+            x[row, : len(p)], back[row, : len(p)] = p, p[::-1]
+        forth, rows = self.w["o"][:h].T @ self._states(x, "f").reshape(t * n, h).T, np.arange(n)
+        other = self.w["o"][h:].T @ self._states(back, "b").reshape(t * n, h).T
+        at = size - 1 - np.arange(t)[:, None]
+        out = forth + np.take(other, (np.maximum(at, 0) * n + rows).ravel(), axis=1) + self.w["oc"][:, None]
+        beyond = np.flatnonzero((at < 0).ravel())
+        out[0, beyond], out[1:, beyond] = 0, -1e4  # there is nothing but outside
+        return out.reshape(TAGS, t, n)
+
+    def tag(self, pieces: list[np.ndarray]) -> list[np.ndarray]:
+        """The tags of each piece, by windows of the length trained on."""
+        out = [np.zeros(len(p), np.int8) for p in pieces]
+        e = self.long_scores(pieces)
+        n, starts = e.shape[2], np.arange(0, e.shape[1] - WINDOW + 1, STEP)
+        each = e[1:].max(axis=0) - e[0]
+        some = np.flatnonzero(self._may_hold(np.concatenate([each[a : a + WINDOW] for a in starts], axis=1)))
+        some = some[starts[some // n] < np.maximum(np.array([len(p) for p in pieces])[some % n] - WINDOW + STEP, 1)]
+        if not len(some):
+            return out
+        at, row = starts[some // n], some % n
+        found = self.best_path(np.ascontiguousarray(e[:, at + np.arange(WINDOW)[:, None], row].transpose(1, 2, 0)))
+        for tags, a, k in zip(found, at.tolist(), row.tolist()):
+            end = len(out[k])
+            lo, hi = (a + STEP // 2 if a else 0), (end if a + WINDOW >= end else a + STEP + STEP // 2)
+            out[k][lo:hi] = tags[lo - a : hi - a]
+        return out
+
     def decode(self, x: np.ndarray) -> np.ndarray:
         """The best tags of each window (Viterbi)."""
         e, trans = self.scores(x), self.w["trans"]
@@ -201,17 +245,21 @@ class Tagger:
     def best_path(self, e: np.ndarray) -> np.ndarray:
         trans = self.w["trans"]
         t, n, _ = e.shape
-        back = np.zeros((t, n, TAGS), np.int8)
-        best = e[0]
-        for k in range(1, t):
-            all_ways = best[:, :, None] + trans
-            back[k] = all_ways.argmax(axis=1)
-            best = all_ways.max(axis=1) + e[k]
         tags = np.zeros((n, t), np.int8)
-        tags[:, -1] = best.argmax(axis=1)
-        rows = np.arange(n)
-        for k in range(t - 1, 0, -1):
-            tags[:, k - 1] = back[k, rows, tags[:, k]]
+        for lo in range(0, n, 256):
+            part = np.ascontiguousarray(e[:, lo : lo + 256].transpose(0, 2, 1))
+            m = part.shape[2]
+            best, ways = np.empty((t, TAGS, m), e.dtype), np.empty((TAGS, TAGS, m), e.dtype)
+            best[0] = part[0]
+            for k in range(1, t):
+                np.add(best[k - 1][:, None], trans[:, :, None], out=ways)
+                np.maximum.reduce(ways, axis=0, out=best[k])
+                best[k] += part[k]
+            now = best[-1].argmax(axis=0)
+            tags[lo : lo + m, -1] = now
+            for k in range(t - 1, 0, -1):  # the way there is looked up for the tag taken alone
+                now = (best[k - 1] + trans[:, now]).argmax(axis=0)
+                tags[lo : lo + m, k - 1] = now
         return tags
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -380,56 +428,36 @@ def trained(windows: int = 1920, rounds: int = 7, batch: int = 64, rate: float =
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """The stretches within ``NEAR`` characters of a digit, an at sign, a bracketed "at" or a "dot"."""
-    out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - NEAR), min(len(text), m.end() + NEAR)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    """The stretches that are tagged: the whole text."""
+    return [(0, len(text))] if text else []
 
 
-def windows_of(length: int) -> list[int]:
-    """Starts of the overlapping windows of a region."""
-    return list(range(0, max(1, length - WINDOW + STEP), STEP))
+def long_windows(length: int) -> list[int]:
+    """Starts of the overlapping windows of a text."""
+    return list(range(0, max(1, length - 2 * MARGIN), LONG - 2 * MARGIN))
 
 
-def tag_regions(model: Tagger, parts: list[np.ndarray], at_once: int = 512) -> list[np.ndarray]:
-    """The tags of each region: every window is decoded, every character takes
-    the tag of the window in which it is farthest from an edge."""
-    where = [(k, a) for k, part in enumerate(parts) for a in windows_of(len(part))]
+def tag_regions(model: Tagger, parts: list[np.ndarray], at_once: int = 256) -> list[np.ndarray]:
+    """The tags of each part: every character is tagged, by the window in which it is farthest from an edge."""
+    where = [(k, a) for k, part in enumerate(parts) for a in long_windows(len(part))]
+    where.sort(key=lambda w: min(LONG, len(parts[w[0]]) - w[1]))  # those of like length together: little padding
     out = [np.zeros(len(p), np.int8) for p in parts]
-    depth = [np.full(len(p), -1, np.int16) for p in parts]
-    centre = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.int16)
     for lo in range(0, len(where), at_once):
         some = where[lo : lo + at_once]
-        x = np.zeros((len(some), WINDOW), np.int64)
-        for row, (k, a) in enumerate(some):
-            piece = parts[k][a : a + WINDOW]
-            x[row, : len(piece)] = piece
-        for tags, (k, a) in zip(model.decode(x), some):
-            n = min(WINDOW, len(parts[k]) - a)
-            # the ends of a region's text are not edges of a window
-            c = centre[:n].copy()
-            if a == 0:
-                c[: n // 2] = WINDOW
-            if a + WINDOW >= len(parts[k]):
-                c[n // 2 :] = WINDOW
-            better = c > depth[k][a : a + n]
-            depth[k][a : a + n][better] = c[better]
-            out[k][a : a + n][better] = tags[:n][better]
+        for tags, (k, a) in zip(model.tag([parts[k][a : a + LONG] for k, a in some]), some):
+            # the ends of a text are not edges of a window
+            x, y = MARGIN if a else 0, len(tags) - (MARGIN if a + LONG < len(parts[k]) else 0)
+            out[k][a + x : a + y] = tags[x:y]
     return out
 
 
 def spans_of(tags: np.ndarray, at: int) -> list[Span]:
-    """Spans of a region that starts at ``at``: a begin, or a change of kind, opens one."""
+    """Spans of a part that starts at ``at``: a begin, or a change of kind, opens one."""
     out: list[Span] = []
     hot = np.flatnonzero(tags)
-    for k in hot.tolist():
-        kind = KINDS[(int(tags[k]) - 1) // 2]
-        if out and out[-1][2] == at + k and out[-1][0] == kind and tags[k] % 2 == 0:
+    for k, tag in zip(hot.tolist(), tags[hot].tolist()):
+        kind = KINDS[(tag - 1) // 2]
+        if out and out[-1][2] == at + k and out[-1][0] == kind and tag % 2 == 0:
             out[-1] = (kind, out[-1][1], at + k + 1)
         else:
             out.append((kind, at + k, at + k + 1))
@@ -442,6 +470,8 @@ def plausible(kind: str, text: str, a: int, b: int) -> bool:
     n = len(_digits(s))
     if s != s.strip() or "\n" in s or (a and text[a - 1].isalnum() and s[0].isalnum()) or (b < len(text) and text[b].isalnum() and s[-1].isalnum()):
         return False  # white space at an end, or part of a longer word
+    if kind == "email" and not re.search(r"(?i)@|[^\w\s] ?at ?[^\w\s]", s):  # a bare "at" is a word as well: what follows must be one host
+        return len(s) >= 8 and bool(re.fullmatch(r"(?i)[\w.%+-]+ at [\w-]+(( ?[^\w\s]? ?dot ?[^\w\s]? ?|\.)[\w-]+)+", s))
     if kind == "email":
         return len(s) >= 8 and bool(re.search(r"(?i)\w ?(@|[^\w\s]at[^\w\s]|\bat\b) ?\w.*(\.|\bdot\b[^\w\s]?) ?\w", s))
     if kind == "ip":
