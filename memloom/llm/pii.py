@@ -9,14 +9,17 @@ keys and tokens), among words, versions, dates and prices that are none.
 Every character of every text is tagged.  The network runs over windows of
 ``LONG`` characters that overlap by twice ``MARGIN``; within them windows of the
 length it was trained on are decoded, every character takes the tag of the window
-in which it is most central, and spans are put together over the whole text.  A
-window whose best tags are all "outside" for certain, by a bound on what any span
-in it could gain, is not decoded further."""
+in which it is most central, and spans are put together over the whole text.
+Characters whose tag is "outside" for certain, by a bound on what any span over them
+could gain, are not decoded further, nor are stretches in which whatever the tags are
+no span could be accepted.  ``onnxruntime`` runs the network where it is installed,
+and numpy elsewhere."""
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from . import recurrent
 from .shared import bounded_batches
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -33,6 +37,7 @@ TAGS = 1 + 2 * len(KINDS)  # outside; then begin and inside of each kind
 WINDOW, STEP = 128, 64
 LONG, MARGIN = 512, 32
 HIDDEN = 20
+BEFORE = 130  # stands before the first character and leaves the states at 0
 
 Span = tuple[str, int, int]
 
@@ -43,6 +48,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+BEGINNINGS = ("AKIA", "ASIA", "ghp_", "sk-")
+_SAYS = (b"pass", b"pwd", b"token", b"secret", b"key", b"bearer")
+_AT = re.compile(r"(?i)(?:(?<=[^\w\s])|(?<=[^\w\s] ))at ?[^\w\s]|at [\w-]+(?: ?[^\w\s]? ?dot|\.[\w-])")
 _KEYWORD = re.compile(r"(?i)(pass(word|wd|phrase)?|pwd|token|secret|key|bearer)[\"']?\s{0,2}[:=]?\s{0,2}[\"']?$")
 
 
@@ -102,6 +110,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def with_before(table: np.ndarray) -> np.ndarray:
+    """What each character adds to the gates, and in a last row for ``BEFORE`` nothing."""
+    return np.concatenate([table, np.zeros((1, table.shape[1]), table.dtype)])
+
+
 class Tagger:
     """Weights of both directions, the output layer and the CRF."""
 
@@ -149,7 +162,7 @@ class Tagger:
         n, t = x.shape
         # a tanh is a sigmoid of twice its argument, twice and less one; numpy's exp is several times faster than its tanh
         scale = -np.repeat(np.array([1.0, 2.0], np.float32), [3 * h, h])
-        table, u = (self.w[f"x{side}"] + self.w[f"c{side}"]) * scale, self.w[f"u{side}"] * scale
+        table, u = with_before(self.w[f"x{side}"] + self.w[f"c{side}"]) * scale, self.w[f"u{side}"] * scale
         out = np.empty((t, n, h), np.float32)
         now, cell, bent = (np.zeros((n, h), np.float32) for _ in range(3))
         z, moved = np.empty((n, 4 * h), np.float32), np.empty((n, 4 * h), np.float32)
@@ -181,58 +194,117 @@ class Tagger:
         return self._states(x, "f") @ o[:h] + self._states(x[:, ::-1], "b")[::-1] @ o[h:] + self.w["oc"]
 
     def may_hold(self, e: np.ndarray) -> np.ndarray:
-        """Windows in which some span might beat no span at all: the best run of characters
-        by what each would gain at most, with the most that its ends can gain."""
-        return self._may_hold(e[:, :, 1:].max(axis=2) - e[:, :, 0])
+        """Windows in which some span might beat no span at all."""
+        return self._hot(np.ascontiguousarray(e.transpose(0, 2, 1))).any(axis=0)
 
-    def _may_hold(self, each: np.ndarray) -> np.ndarray:
-        """:meth:`may_hold` by each character's best score above "outside", (characters, windows)."""
+    def _hot(self, e: np.ndarray) -> np.ndarray:
+        """Where some span might beat no span at all, (characters, windows), by scores (characters, tags, windows): the best
+        run over a character by what its characters would gain at most, with the most that its ends can gain.  A run
+        ends before a character that is outside whatever the tags beside it are."""
         trans = self.w["trans"]
         gain = trans - trans[0, 0]
+        # the most that a tag in place of "outside" can gain by the ways to it and from it
+        ways = np.maximum(gain[:, 1:] - gain[:, :1], 0).max(axis=0) + np.maximum(gain[1:] - gain[:1], 0).max(axis=1)
+        each = e[:, 1:].max(axis=1)
+        most = e[:, 1] + ways[0]
+        for k in range(2, TAGS):
+            np.maximum(most, e[:, k] + ways[k - 1], out=most)
+        each -= e[:, 0]
+        each[most - e[:, 0] < -1e-3] = -1e4
         inside = float(gain[1:, 1:].max())
         ends = max(0.0, float(gain[0, 1:].max())) + max(0.0, float(gain[1:, 0].max())) - inside
         each = each + inside
-        run, best = np.zeros(each.shape[1], np.float32), np.full(each.shape[1], -np.inf, np.float32)
-        for k in range(len(each)):
-            run = np.maximum(run, 0) + each[k]
-            best = np.maximum(best, run)
-        return best + ends > -1e-3
+        upto, since = each.copy(), each.copy()
+        least = np.empty(each.shape[1], each.dtype)
+        for k in range(1, len(each)):
+            upto[k] += np.maximum(upto[k - 1], 0, out=least)
+            since[-1 - k] += np.maximum(since[-k], 0, out=least)
+        upto += since
+        upto -= each
+        return upto > -1e-3 - ends
 
     def long_scores(self, pieces: list[np.ndarray]) -> np.ndarray:
-        """(tags, characters, windows) of pieces of text of unlike length.  Padding follows the last
-        character in either direction, so a piece's scores do not depend on what is scored with it."""
+        """(characters, tags, windows) of pieces of text of unlike length.  Nothing that is scored with a piece
+        changes its scores: what follows its last character is read after it, or leaves the states at 0."""
         h, n = HIDDEN, len(pieces)
         size = np.array([len(p) for p in pieces])
         t = WINDOW + STEP * max(0, -(-(int(size.max()) - WINDOW) // STEP))
-        x, back = np.zeros((n, t), np.uint8), np.zeros((n, t), np.uint8)
+        x = np.full((n, t), BEFORE, np.uint8)
         for row, p in enumerate(pieces):
-            x[row, : len(p)], back[row, : len(p)] = p, p[::-1]
-        forth, rows = self.w["o"][:h].T @ self._states(x, "f").reshape(t * n, h).T, np.arange(n)
-        other = self.w["o"][h:].T @ self._states(back, "b").reshape(t * n, h).T
-        at = size - 1 - np.arange(t)[:, None]
-        out = forth + np.take(other, (np.maximum(at, 0) * n + rows).ravel(), axis=1) + self.w["oc"][:, None]
-        beyond = np.flatnonzero((at < 0).ravel())
-        out[0, beyond], out[1:, beyond] = 0, -1e4  # there is nothing but outside
-        return out.reshape(TAGS, t, n)
-
-    def tag(self, pieces: list[np.ndarray]) -> list[np.ndarray]:
-        """The tags of each piece, by windows of the length trained on."""
-        out = [np.zeros(len(p), np.int8) for p in pieces]
-        e = self.long_scores(pieces)
-        n, starts = e.shape[2], np.arange(0, e.shape[1] - WINDOW + 1, STEP)
-        each = e[1:].max(axis=0) - e[0]
-        some = np.flatnonzero(self._may_hold(np.concatenate([each[a : a + WINDOW] for a in starts], axis=1)))
-        some = some[starts[some // n] < np.maximum(np.array([len(p) for p in pieces])[some % n] - WINDOW + STEP, 1)]
-        if not len(some):
-            return out
-        at, row = starts[some // n], some % n
-        found = self.best_path(np.ascontiguousarray(e[:, at + np.arange(WINDOW)[:, None], row].transpose(1, 2, 0)))
-        for tags, a, k in zip(found, at.tolist(), row.tolist()):
-            end = len(out[k])
-            lo, hi = (a + STEP // 2 if a else 0), (end if a + WINDOW >= end else a + STEP + STEP // 2)
-            out[k][lo:hi] = tags[lo - a : hi - a]
+            x[row, : len(p)] = p
+        out = self._fused(x) if type(self)._states is Tagger._states else None
+        if out is None:
+            sides = (self._states(x, "f"), self._states(x[:, ::-1], "b")[::-1])
+            out = np.stack([sides[0][k] @ self.w["o"][:h] + sides[1][k] @ self.w["o"][h:] for k in range(t)]).transpose(0, 2, 1) + self.w["oc"][:, None]
+        k, row = np.nonzero(x.T == BEFORE)
+        out[k, :, row] = np.array([0] + [-1e4] * (TAGS - 1), out.dtype)  # there is nothing but outside
         return out
 
+    def _fused(self, x: np.ndarray) -> np.ndarray | None:
+        """The scores by one graph of :mod:`recurrent`, where there is a runtime for it."""
+        w, h = self.w, HIDDEN
+        weights = {"oc": w["oc"][:, None]}
+        for k, side in enumerate("fb"):
+            weights |= {f"table_{side}": with_before(w[f"x{side}"] + w[f"c{side}"]), f"u_{side}": w[f"u{side}"], f"o_{side}": np.ascontiguousarray(w["o"][h * k : h * (k + 1)].T)}
+        return recurrent.scores(x, weights)
+
+    def tag(self, pieces: list[np.ndarray], tells: list[np.ndarray] | None = None) -> list[np.ndarray]:
+        """The tags of each piece, by windows of the length trained on.  The best tags of a window are "outside" but in
+        stretches that do not touch, so it is enough to decode these; one that lies inside two windows is decoded once.
+        With ``tells``, of :func:`telling`, those in which no span can be plausible stay "outside"."""
+        e, size = self.long_scores(pieces), np.array([len(p) for p in pieces])
+        t, _, n = e.shape
+        tags = np.zeros((n, t), np.int8)
+        hot = np.zeros((n, t + 2), bool)
+        hot[:, 1:-1] = self._hot(e).T
+        row, edge = np.divmod(np.flatnonzero(hot[:, 1:] != hot[:, :-1]), t + 1)
+        row, a, b = row[::2], edge[::2], edge[1::2]
+        if tells is not None:
+            upto = np.zeros((n, t + 1), np.int32)
+            for k, p in enumerate(tells):
+                np.cumsum(p, out=upto[k, 1 : len(p) + 1])
+                upto[k, len(p) + 1 :] = upto[k, len(p)]
+            some = may_tell(upto[row, b] - upto[row, a], b - a)
+            row, a, b = row[some], a[some], b[some]
+        # by each window that gives a character of a stretch its tag: what the window sees of it
+        last = np.maximum(-(-(size - STEP) // STEP), 1) - 1
+        if not len(row):
+            return [tags[k, : len(p)] for k, p in enumerate(pieces)]
+        first = np.clip((a - STEP // 2) // STEP, 0, last[row])
+        times = np.clip((b - 1 - STEP // 2) // STEP, 0, last[row]) - first + 1
+        row, a, b = np.repeat(row, times), np.repeat(a, times), np.repeat(b, times)
+        k = np.repeat(first - np.cumsum(times) + times, times) + np.arange(len(row))
+        at = k * STEP
+        lo = np.maximum(a, np.where(k > 0, at + STEP // 2, 0))
+        hi = np.minimum(b, np.where(k < last[row], at + STEP + STEP // 2, size[row]))
+        a, b = np.maximum(a, at), np.minimum(b, at + WINDOW)
+        # within a window an outside character stands on either side
+        begin, end = a - (a > at), b + (b < at + WINDOW)
+        key, one, same = np.unique(((row * (t + 2) + begin) * (t + 2) + end) * 4 + (a > at) * 2 + (b < at + WINDOW), return_index=True, return_inverse=True)
+        found, where = self._stretches(e, row[one], begin[one], end[one], (key & 2) > 0, (key & 1) > 0)
+        long = hi - lo
+        step = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
+        tags.ravel()[np.repeat(row * t + lo, long) + step] = found[np.repeat(where[same] + lo - begin, long) + step]
+        return [tags[k, : len(p)] for k, p in enumerate(pieces)]
+
+    def _stretches(self, e: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray, led: np.ndarray, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best tags of stretches of ``e``, one after another, and where each begins there.  The first
+        character of those that are ``led`` and the last of those that are ``closed`` is outside."""
+        size, flat, (t, _, n) = end - begin, e.ravel(), e.shape
+        where = np.cumsum(size) - size
+        found = np.zeros(int(size.sum()), np.int8)
+        order = np.argsort(-size, kind="stable")
+        for k in range(0, len(order), 512):
+            some = order[k : k + 512]
+            steps = np.arange(size[some[0]])[:, None]
+            spots = np.minimum(begin[some] + steps, t - 1) * (TAGS * n) + row[some]
+            part = np.take(flat, spots[:, None] + np.arange(0, TAGS * n, n)[:, None])
+            for lanes, place in ((np.flatnonzero(led[some]), 0), (c := np.flatnonzero(closed[some]), size[some][c] - 1)):
+                part[place, 0, lanes], part[place, 1:, lanes] = 0, -1e4
+            inside = steps < size[some]
+            found[(where[some] + steps)[inside]] = self._best_path(part, size[some])[inside]
+        return found, where
+
     def decode(self, x: np.ndarray) -> np.ndarray:
         """The best tags of each window (Viterbi)."""
         e, trans = self.scores(x), self.w["trans"]
@@ -243,23 +315,33 @@ class Tagger:
         return out
 
     def best_path(self, e: np.ndarray) -> np.ndarray:
-        trans = self.w["trans"]
         t, n, _ = e.shape
         tags = np.zeros((n, t), np.int8)
         for lo in range(0, n, 256):
             part = np.ascontiguousarray(e[:, lo : lo + 256].transpose(0, 2, 1))
-            m = part.shape[2]
-            best, ways = np.empty((t, TAGS, m), e.dtype), np.empty((TAGS, TAGS, m), e.dtype)
-            best[0] = part[0]
-            for k in range(1, t):
-                np.add(best[k - 1][:, None], trans[:, :, None], out=ways)
-                np.maximum.reduce(ways, axis=0, out=best[k])
-                best[k] += part[k]
-            now = best[-1].argmax(axis=0)
-            tags[lo : lo + m, -1] = now
-            for k in range(t - 1, 0, -1):  # the way there is looked up for the tag taken alone
-                now = (best[k - 1] + trans[:, now]).argmax(axis=0)
-                tags[lo : lo + m, k - 1] = now
+            tags[lo : lo + 256] = self._best_path(part, np.full(part.shape[2], t)).T
+        return tags
+
+    def _best_path(self, part: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The best tags, (characters, windows), of windows of unlike size, the longest first; ``part`` is (characters, tags, windows)."""
+        trans = self.w["trans"]
+        t, _, m = part.shape
+        tags = np.empty((t, m), np.int8)
+        best, ways = np.empty((t, TAGS, m), part.dtype), np.empty((TAGS, TAGS, m), part.dtype)
+        best[0] = part[0]
+        for k in range(1, t):
+            np.add(best[k - 1][:, None], trans[:, :, None], out=ways)
+            np.maximum.reduce(ways, axis=0, out=best[k])
+            best[k] += part[k]
+        ends = np.searchsorted(-size, -np.arange(t + 1), side="right")  # how many windows have so many characters at least
+        now = np.zeros(m, np.intp)
+        for k in range(t - 1, -1, -1):  # the way there is looked up for the tag taken alone
+            on, there = ends[k + 2] if k + 2 <= t else 0, ends[k + 1]
+            if on:
+                now[:on] = (best[k][:, :on] + trans[:, now[:on]]).argmax(axis=0)
+            if there > on:
+                now[on:there] = best[k][:, on:there].argmax(axis=0)
+            tags[k] = now
         return tags
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -437,14 +519,24 @@ def long_windows(length: int) -> list[int]:
     return list(range(0, max(1, length - 2 * MARGIN), LONG - 2 * MARGIN))
 
 
-def tag_regions(model: Tagger, parts: list[np.ndarray], at_once: int = 256) -> list[np.ndarray]:
-    """The tags of each part: every character is tagged, by the window in which it is farthest from an edge."""
+def tag_regions(model: Tagger, parts: list[np.ndarray], tells: list[np.ndarray] | None = None, at_once: int = 512) -> list[np.ndarray]:
+    """The tags of each part: every character is tagged, by the window in which it is farthest from an edge.  With
+    ``tells``, of :func:`telling`, all plausible spans are as without; others may be left out."""
     where = [(k, a) for k, part in enumerate(parts) for a in long_windows(len(part))]
     where.sort(key=lambda w: min(LONG, len(parts[w[0]]) - w[1]))  # those of like length together: little padding
+    sizes = [min(LONG, len(parts[k]) - a) for k, a in where]
     out = [np.zeros(len(p), np.int8) for p in parts]
-    for lo in range(0, len(where), at_once):
-        some = where[lo : lo + at_once]
-        for tags, (k, a) in zip(model.tag([parts[k][a : a + LONG] for k, a in some]), some):
+    hi = 0
+    while hi < len(where):
+        lo, hi = hi, min(hi + at_once, max(hi + at_once // 4, bisect_right(sizes, sizes[hi] * 5 // 4 + STEP // 4)))
+        some = where[lo:hi]
+        here = None if tells is None else [tells[k][a : a + LONG].copy() for k, a in some]
+        for t, (k, a) in zip(here or (), some):  # a span may go on in the next window, and what tells with it
+            if a:
+                t[MARGIN] = _ALONE
+            if a + LONG < len(parts[k]):
+                t[LONG - MARGIN - 1] = _ALONE
+        for tags, (k, a) in zip(model.tag([parts[k][a : a + LONG] for k, a in some], here), some):
             # the ends of a text are not edges of a window
             x, y = MARGIN if a else 0, len(tags) - (MARGIN if a + LONG < len(parts[k]) else 0)
             out[k][a + x : a + y] = tags[x:y]
@@ -453,21 +545,22 @@ def tag_regions(model: Tagger, parts: list[np.ndarray], at_once: int = 256) -> l
 
 def spans_of(tags: np.ndarray, at: int) -> list[Span]:
     """Spans of a part that starts at ``at``: a begin, or a change of kind, opens one."""
-    out: list[Span] = []
     hot = np.flatnonzero(tags)
-    for k, tag in zip(hot.tolist(), tags[hot].tolist()):
-        kind = KINDS[(tag - 1) // 2]
-        if out and out[-1][2] == at + k and out[-1][0] == kind and tag % 2 == 0:
-            out[-1] = (kind, out[-1][1], at + k + 1)
-        else:
-            out.append((kind, at + k, at + k + 1))
-    return out
+    tag = tags[hot]
+    kind = (tag - 1) // 2
+    opens = np.ones(len(hot), bool)
+    opens[1:] = (hot[1:] != hot[:-1] + 1) | (kind[1:] != kind[:-1]) | (tag[1:] % 2 == 1)
+    first = np.flatnonzero(opens)
+    ends = hot[np.append(first[1:], len(hot)) - 1] + 1 if len(hot) else hot
+    return [(KINDS[k], x, y) for k, x, y in zip(kind[first].tolist(), (hot[first] + at).tolist(), (ends + at).tolist())]
 
 
 def plausible(kind: str, text: str, a: int, b: int) -> bool:
     """What a tagged span must hold at least to be one of its kind, in whatever form it is written."""
     s = text[a:b]
-    n = len(_digits(s))
+    if kind == "email" and not ("@" in s or "at" in s.lower()):
+        return False  # neither form holds
+    n = len(_digits(s)) if kind != "email" else 0
     if s != s.strip() or "\n" in s or (a and text[a - 1].isalnum() and s[0].isalnum()) or (b < len(text) and text[b].isalnum() and s[-1].isalnum()):
         return False  # white space at an end, or part of a longer word
     if kind == "email" and not re.search(r"(?i)@|[^\w\s] ?at ?[^\w\s]", s):  # a bare "at" is a word as well: what follows must be one host
@@ -483,19 +576,58 @@ def plausible(kind: str, text: str, a: int, b: int) -> bool:
         return 9 <= n <= 15 and n < len(s)
     if _KEYWORD.search(text[max(0, a - 24) : a]):
         return len(s) >= 8 and not s.isalpha()  # after a word that says so, anything but a word
-    return len(s) >= 16 and (n >= 2 or s.startswith(("AKIA", "ASIA", "ghp_", "sk-")))  # digits, or a beginning that says so
+    return len(s) >= 16 and (n >= 2 or s.startswith(BEGINNINGS))  # digits, or a beginning that says so
+
+
+_LOWER = np.array([ord(chr(k - 1).lower()) if 0 < k < 129 else 0 for k in range(256)], np.uint8)  # by code
+_WORDLY = np.array([chr(k).isalnum() or k == 95 for k in range(128)] + [False] * 128)
+_DIGITS, _ALONE = 1, 16
+
+
+def telling(text: str, points: np.ndarray) -> np.ndarray:
+    """What each character contributes to a span's being :func:`plausible`: ``_DIGITS`` a digit, ``_ALONE`` an at sign or
+    word, the beginning of a secret, or what follows a word that says there is one; 0 all others.  See :func:`may_tell`."""
+    low = _LOWER[points]
+    out = ((low - np.uint8(48)) < 10).astype(np.uint8)
+    out[low == 64] = _ALONE
+    at = np.flatnonzero((low[:-1] == 97) & (low[1:] == 116))
+    before, after = low[np.maximum(at - 1, 0)], low[np.minimum(at + 2, len(low) - 1)]
+    for k in at[~((_WORDLY[before] & (at > 0)) | (_WORDLY[after] & (at + 2 < len(low))))].tolist():
+        if _AT.match(text, k):
+            out[k] = _ALONE
+    for beginning in BEGINNINGS:
+        k = text.find(beginning)
+        while k >= 0:
+            out[k] = _ALONE
+            k = text.find(beginning, k + 1)
+    folded = low.tobytes()
+    for word in _SAYS:
+        k = folded.find(word)
+        while k >= 0:
+            out[k : k + 18] = _ALONE  # the longest word, and what may stand between it and a secret
+            k = folded.find(word, k + 1)
+    if "\u017f" in text or "\u212a" in text:
+        out[:] = _ALONE  # a long s and a kelvin, which match s and k
+    return out
+
+
+def may_tell(total: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether a stretch of that length whose characters contribute that much in all may hold a plausible span: numbers have
+    four digits at least, a secret two and sixteen characters or what stands alone, an address what stands alone."""
+    return (total >= 4) | ((total >= 2) & (length >= 16))
 
 
 def text_spans(texts: list[str], model: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """For each text the base spans and those that the tagger adds, apart from each other and from the base."""
     base = [base_spans(t) for t in texts]
-    where, parts = [], []
+    where, parts, tells = [], [], []
     for k, t in enumerate(texts):
         for a, b in regions(t):
             where.append((k, a))
             parts.append(codes(t[a:b]))
+            tells.append(telling(t[a:b], parts[-1]))
     added: list[list[Span]] = [[] for _ in texts]
-    for (k, a), tags in zip(where, tag_regions(model, parts)):
+    for (k, a), tags in zip(where, tag_regions(model, parts, tells)):
         t = texts[k]
         for kind, x, y in spans_of(tags, a):
             if plausible(kind, t, x, y):
@@ -515,6 +647,18 @@ def text_spans(texts: list[str], model: Tagger) -> list[tuple[list[Span], list[S
     return out
 
 
+def _together(batches: Iterator[pa.RecordBatch], size: int = 3 << 20) -> Iterator[pa.Table]:
+    """Batches put together until they have so many bytes: windows of like length are more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def in_order(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
@@ -537,11 +681,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
-        for batch in batches:
+        for batch in _together(batches):
             found = text_spans(pc.fill_null(batch.column(1), "").to_pylist(), model)
             base = pa.array([[entry(s) for s in b] for b, _ in found], pa.list_(_SPAN))
             spans = pa.array([[entry(s) for s in in_order(b + more)] for b, more in found], pa.list_(_SPAN))
-            yield pa.RecordBatch.from_arrays([batch.column(0), base, spans], names=[id_col, "base", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).combine_chunks(), base, spans], names=[id_col, "base", "spans"])
 
     shape = "array<struct<kind: string, start: bigint, end: bigint>>"
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, base {shape}, spans {shape}")
