@@ -252,9 +252,20 @@ class Tagger:
         """The tags of each piece, by windows of the length trained on.  The best tags of a window are "outside" but in
         stretches that do not touch, so it is enough to decode these; one that lies inside two windows is decoded once.
         With ``tells``, of :func:`telling`, those in which no span can be plausible stay "outside"."""
-        e, size = self.long_scores(pieces), np.array([len(p) for p in pieces])
+        e = self.long_scores(pieces)
+        if tells is not None:  # all pieces are scored, and those looked at in which there may be such a span
+            some = [k for k, p in enumerate(tells) if may_tell(p.sum(dtype=np.int64), len(p))]
+            out = [np.zeros(len(p), np.int8) for p in pieces]
+            if some:
+                for k, tags in zip(some, self._decoded(np.ascontiguousarray(e[:, :, some]), [len(pieces[k]) for k in some], [tells[k] for k in some])):
+                    out[k] = tags
+            return out
+        return self._decoded(e, [len(p) for p in pieces])
+
+    def _decoded(self, e: np.ndarray, sizes: list[int], tells: list[np.ndarray] | None = None) -> list[np.ndarray]:
+        """The tags of pieces of these sizes by their scores."""
         t, _, n = e.shape
-        tags = np.zeros((n, t), np.int8)
+        size, tags = np.array(sizes), np.zeros((n, t), np.int8)
         hot = np.zeros((n, t + 2), bool)
         hot[:, 1:-1] = self._hot(e).T
         row, edge = np.divmod(np.flatnonzero(hot[:, 1:] != hot[:, :-1]), t + 1)
@@ -269,7 +280,7 @@ class Tagger:
         # by each window that gives a character of a stretch its tag: what the window sees of it
         last = np.maximum(-(-(size - STEP) // STEP), 1) - 1
         if not len(row):
-            return [tags[k, : len(p)] for k, p in enumerate(pieces)]
+            return [tags[k, :m] for k, m in enumerate(sizes)]
         first = np.clip((a - STEP // 2) // STEP, 0, last[row])
         times = np.clip((b - 1 - STEP // 2) // STEP, 0, last[row]) - first + 1
         row, a, b = np.repeat(row, times), np.repeat(a, times), np.repeat(b, times)
@@ -285,7 +296,7 @@ class Tagger:
         long = hi - lo
         step = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
         tags.ravel()[np.repeat(row * t + lo, long) + step] = found[np.repeat(where[same] + lo - begin, long) + step]
-        return [tags[k, : len(p)] for k, p in enumerate(pieces)]
+        return [tags[k, :m] for k, m in enumerate(sizes)]
 
     def _stretches(self, e: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray, led: np.ndarray, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best tags of stretches of ``e``, one after another, and where each begins there.  The first
@@ -525,16 +536,17 @@ def tag_regions(model: Tagger, parts: list[np.ndarray], tells: list[np.ndarray]
     where = [(k, a) for k, part in enumerate(parts) for a in long_windows(len(part))]
     where.sort(key=lambda w: min(LONG, len(parts[w[0]]) - w[1]))  # those of like length together: little padding
     sizes = [min(LONG, len(parts[k]) - a) for k, a in where]
+    ends = [(int(z[0]), int(z[-1])) if len(z := np.flatnonzero(t)) else (len(t), -1) for t in tells or ()]
     out = [np.zeros(len(p), np.int8) for p in parts]
     hi = 0
     while hi < len(where):
         lo, hi = hi, min(hi + at_once, max(hi + at_once // 4, bisect_right(sizes, sizes[hi] * 5 // 4 + STEP // 4)))
         some = where[lo:hi]
         here = None if tells is None else [tells[k][a : a + LONG].copy() for k, a in some]
-        for t, (k, a) in zip(here or (), some):  # a span may go on in the next window, and what tells with it
-            if a:
+        for t, (k, a) in zip(here or (), some):  # a span may go on in the window before or after, and what tells lie there
+            if a and ends[k][0] < a + MARGIN:
                 t[MARGIN] = _ALONE
-            if a + LONG < len(parts[k]):
+            if a + LONG < len(parts[k]) and ends[k][1] >= a + LONG - MARGIN:
                 t[LONG - MARGIN - 1] = _ALONE
         for tags, (k, a) in zip(model.tag([parts[k][a : a + LONG] for k, a in some], here), some):
             # the ends of a text are not edges of a window
